@@ -21,7 +21,7 @@ CALENDAR = (date(2020, 1, 1), date(2030, 12, 31))
 def dim_date(spark: SparkSession, first: date = CALENDAR[0], last: date = CALENDAR[1]) -> DataFrame:
     """One row per day from ``first`` to ``last``; week is the ISO week, weekend is Saturday and Sunday."""
     d = F.col("full_date")
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.make_dt_interval(F.lit(1)))).cast("date").alias("full_date"))
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("full_date"))
     return cast_to(
         days.select(
             fn.date_key(d).alias("date_key"),
