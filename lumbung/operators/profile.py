@@ -186,7 +186,7 @@ def _coded(tables: Sequence[Profiled]) -> tuple[list[_Coded], DataFrame]:
         edges = {c: sorted(set(found[c] or [])) for c in p.numbers}
         at = _Coded(p, columns, tuple(RANGES + 2 if c in p.numbers else CLASSES + 2 for c in columns), code, loads, group)
         layout.append(at)
-        number = F.create_map(*(x for i, v in enumerate(loads) for x in (F.lit(v), F.lit(group + i)))) if loads else F.lit(None)
+        number = F.create_map(*(x for i, v in enumerate(loads) for x in (F.lit(v), F.lit(group + i)))) if loads else F.lit(None).cast("map<int,int>")
         codes = F.array(*((_code(p, c, edges.get(c, ())) + o).cast("short") for c, o in zip(columns, at.offsets())))
         fold = F.pmod(F.xxhash64(F.col(f"`{p.key}`"), *(F.col(f"`{c}`") for c in columns)), F.lit(2)).cast("byte")
         parts.append(p.rows.where(F.col(f"`{p.load}`").isNotNull()).select(F.element_at(number, F.col(f"`{p.load}`")).cast("short").alias("grp"), fold.alias("fold"), codes.alias("codes")))

@@ -104,10 +104,15 @@ class JdbcSink:
         self.spark, self.target, self.batch_size, self.partitions, self.isolation = spark, target, batch_size, partitions, isolation
 
     def _write(self, df: DataFrame, mode: str) -> int:
-        df, seen = counted(df)
-        writer = df.write.format("jdbc").options(**self.target.options()).option("dbtable", self.target.table)
-        writer.option("batchsize", self.batch_size).option("isolationLevel", self.isolation).option("truncate", "true").option("numPartitions", self.partitions).mode(mode).save()
-        return seen.get["n"]
+        # the JDBC writer runs a plan of its own, which observes nothing: count what is kept for it
+        kept = df.persist()
+        try:
+            n = kept.count()
+            writer = kept.write.format("jdbc").options(**self.target.options()).option("dbtable", self.target.table)
+            writer.option("batchsize", self.batch_size).option("isolationLevel", self.isolation).option("truncate", "true").option("numPartitions", self.partitions).mode(mode).save()
+            return n
+        finally:
+            kept.unpersist()
 
     def replace(self, df: DataFrame) -> int:
         return self._write(df, "overwrite")
