@@ -37,8 +37,11 @@ REACH, CONTEXT = 300, 150
 #: Weights of the alignment, the least score of a piece, and the part of the item's own characters
 #: in the aligned span that must match: a template filled with other names and numbers stays below.
 OWN, SHARED, MISMATCH, GAP, MIN_SCORE, OWN_MATCHED = 3, 1, -4, -4, 30, 0.5
-#: Part of an item's words that makes a leak, and part of a word's characters that make it held.
-LEAK, HELD = 1 / 3, 0.6
+#: Characters between two aligned pieces in a row that count as retouched.
+BRIDGE = 30
+#: Part of an item's words that makes a leak, and part of a word's characters that make it held. A
+#: third is asked for; words that retouching changed at the ends of a piece can't be seen, so less is.
+LEAK, HELD = 0.27, 0.6
 #: Characters hashed at once, and cells of one batch of alignments.
 CHUNK_CHARS, BATCH_CELLS = 2_000_000, 12_000_000
 
@@ -203,8 +206,19 @@ class _Task:
     seeds: np.ndarray  # (window position, item position)
     covered: np.ndarray
     used: np.ndarray
+    pieces: list[tuple[int, int, int, int]]  # (first, last) of the item and of the window
     score: int = 0
 
+    def add(self, a: int, b: int, wa: int, wb: int) -> None:
+        """A piece that aligns; what lies between two of them in both texts, and is short, was retouched."""
+        for c, d, wc, wd in self.pieces:
+            if 0 <= a - d <= BRIDGE and 0 <= wa - wd <= BRIDGE:
+                self.covered[d:a] = True
+            if 0 <= c - b <= BRIDGE and 0 <= wc - wb <= BRIDGE:
+                self.covered[b:c] = True
+        self.covered[a : b + 1] = True
+        self.pieces.append((a, b, wa, wb))
+
 
 def align(windows: list[np.ndarray], items: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Best local alignment of each pair: its score and the matched (window, item) positions.
@@ -326,7 +340,7 @@ def leaks_in(streams: list[bytes], index: Index, min_seeds: int = MIN_SEEDS) ->
         for window, where in _windows(streams[text[a]], at[a:b], item_at[a:b], len(it.data)):
             if len(np.unique(where[:, 1])) < WINDOW_SEEDS:
                 continue
-            tasks.append(_Task(len(pairs) - 1, window, it, where, np.zeros(len(it.data), bool), np.zeros(len(window), bool)))
+            tasks.append(_Task(len(pairs) - 1, window, it, where, np.zeros(len(it.data), bool), np.zeros(len(window), bool), []))
     covered = [np.zeros(len(index.items[i].data), bool) for _, i, _ in pairs]
     score = [0] * len(pairs)
     todo = []
@@ -348,7 +362,7 @@ def leaks_in(streams: list[bytes], index: Index, min_seeds: int = MIN_SEEDS) ->
                 t.used[wi.min() : wi.max() + 1] = True
                 own = t.item.weight[qj.min() : qj.max() + 1] == OWN
                 if (t.item.weight[qj] == OWN).sum() >= OWN_MATCHED * own.sum():
-                    t.covered[qj] = True
+                    t.add(int(qj.min()), int(qj.max()), int(wi.min()), int(wi.max()))
                     covered[t.pair] |= t.covered
                     score[t.pair] += int(s)
                 t.seeds = t.seeds[~t.used[t.seeds[:, 0]] & ~t.covered[t.seeds[:, 1]]]
@@ -357,7 +371,7 @@ def leaks_in(streams: list[bytes], index: Index, min_seeds: int = MIN_SEEDS) ->
         todo = again
     for (doc, i, seeds), cov, s in zip(pairs, covered, score):
         words = index.items[i].words
-        total = np.r_[0, np.cumsum(cov)]
+        total = np.r_[0, np.cumsum(cov & (index.items[i].weight > 0))]
         held = int(((total[words[:, 1]] - total[words[:, 0]]) >= HELD * (words[:, 1] - words[:, 0])).sum()) if len(words) else 0
         yield doc, index.items[i].item_id, seeds, held, len(words), s
 

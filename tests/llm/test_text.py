@@ -183,7 +183,8 @@ def test_leaks_in_every_form_are_found(leaks):
 
 def test_shares_of_held_words(leaks):
     assert leaks[1, 3]["share"] == 1.0 and leaks[14, 16]["share"] == 1.0
-    assert 0.4 < leaks[4, 6]["share"] < 0.65 and 0.7 < leaks[3, 5]["share"] < 0.95
+    assert 0.4 < leaks[4, 6]["share"] < 0.65
+    assert leaks[3, 5]["share"] > 0.9  # words changed inside a piece count as held
 
 
 def test_blocks_give_the_same(spark, leaks, monkeypatch):
@@ -209,6 +210,8 @@ CASES = {
         PROSE * 2 + "\n\n- Quimol\n- Vial 12\n",
         "<p>" + PROSE + "</p><br>" + PROSE,
         "Notes Kubara\n\n" + PROSE,
+        "Notes Kubara\n\nAll is well here.",
+        "The clerk moved the vials\nfrom the cold room to the\nlower shelf, and the nurse\ncounted them in the",
         "\r\n".join([PROSE, "", PROSE.replace("clerk", "driver")]),
     ],
     "list": [
