@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lumbung.llm.tokens import VOCABULARY, with_token_counts
+from lumbung.session import shuffle_partitions
 
 #: Items of a shard, about.
 SHARD_ITEMS = 4096
@@ -67,36 +68,43 @@ def _step(a: list[int], b: list[int], sizes: np.ndarray, room: int) -> tuple[lis
 
 
 def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search; every step raises the sum of squared fills, so it ends."""
+    """Local search; every step raises the sum of squared fills, so it ends.
+
+    The emptiest bin gives to fuller ones, in passes over them, until it is empty or nothing fits.
+    A bin that holds more than all the room in fuller bins can't be emptied, nor can a fuller one.
+    """
     fill = [int(sizes[b].sum()) for b in map(np.array, bins)] if bins else []
     fewest = math.ceil(int(sizes.sum()) / capacity)
     alive = set(range(len(bins)))
     stuck: set[int] = set()
     while len(alive) > fewest:
-        open_bins = sorted((b for b in alive if fill[b] < capacity), key=lambda b: fill[b])
-        source = next((b for b in open_bins if b not in stuck), None)
+        below = sorted((b for b in alive if fill[b] < capacity), key=lambda b: fill[b])
+        source = next((b for b in below if b not in stuck), None)
         if source is None:
             break
-        moved = False
-        for target in reversed(open_bins):
-            if target == source or fill[target] < fill[source]:
-                continue
-            step = _step(bins[source], bins[target], sizes, capacity - fill[target])
-            if step:
-                take, give = step
-                bins[source] = [i for i in bins[source] if i not in take] + give
-                bins[target] = [i for i in bins[target] if i not in give] + take
-                change = int(sizes[take].sum() - (sizes[give].sum() if give else 0))
-                fill[source] -= change
-                fill[target] += change
-                moved = True
+        targets = below[below.index(source) + 1 :]
+        if sum(capacity - fill[t] for t in targets) < fill[source]:
+            break
+        moved = True
+        while moved and bins[source]:
+            moved = False
+            for target in reversed(targets):
                 if not bins[source]:
-                    alive.discard(source)
                     break
-        if moved:
-            stuck.clear()
-        else:
+                room = capacity - fill[target]
+                step = _step(bins[source], bins[target], sizes, room) if room and fill[target] >= fill[source] else None
+                if step:
+                    take, give = step
+                    bins[source] = [i for i in bins[source] if i not in take] + give
+                    bins[target] = [i for i in bins[target] if i not in give] + take
+                    change = int(sizes[take].sum() - (sizes[give].sum() if give else 0))
+                    fill[source] -= change
+                    fill[target] += change
+                    moved = True
+        if bins[source]:
             stuck.add(source)
+        else:
+            alive.discard(source)
     return [bins[b] for b in sorted(alive)]
 
 
@@ -148,7 +156,8 @@ def pack_documents(df: DataFrame, id_column: str, text_column: str, capacities:
             out.append(pd.DataFrame({"container_id": base + len(bins) + np.arange(len(at)), "position": 0, "id": ids[at], "piece": number, "n_pieces": pieces[at], "n_tokens": capacity}))
         return pd.concat(out).assign(window_name=window)[["window_name", "container_id", "position", "id", "piece", "n_pieces", "n_tokens"]]
 
-    packed = items.groupBy("window_name", "shard").applyInPandas(work, f"window_name string, container_id long, position long, id {id_type}, piece long, n_pieces long, n_tokens long")
+    # a number of partitions given by hand is not merged into few for being small: packing is work
+    packed = items.repartition(shuffle_partitions(spark), "window_name", "shard").groupBy("window_name", "shard").applyInPandas(work, f"window_name string, container_id long, position long, id {id_type}, piece long, n_pieces long, n_tokens long")
     return packed.withColumnRenamed("id", id_column)
 
 
