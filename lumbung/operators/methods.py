@@ -1,6 +1,7 @@
 """The four write methods: overwrite, append, truncate and upsert, each with statistics.
 
 ``overwrite`` with an empty source leaves the target alone; ``truncate`` empties it all the same.
+Targets are Parquet tables and database tables alike.
 ``upsert`` inserts new keys, updates changed rows, skips equal ones and never deletes. Without keys
 it inserts the rows that the target doesn't hold, comparing every column.
 """
@@ -13,7 +14,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from lumbung.operators.merge import UNCOMPARED, check_unique, compare, merged, missing_rows
-from lumbung.operators.sinks import ParquetSink
+from lumbung.operators.sinks import JdbcSink, ParquetSink
+
+Sink = ParquetSink | JdbcSink
 
 
 @dataclass(frozen=True)
@@ -38,33 +41,45 @@ class WriteStats:
         return {k: v for k, v in asdict(self).items() if v is not None}
 
 
-def overwrite(df: DataFrame, sink: ParquetSink, keys: Sequence[str] | None = None) -> WriteStats:
+def _failures(sink: Sink) -> int:
+    """Rows that a database refused; ``sink.failed`` holds them with their errors."""
+    return 0 if sink.failed is None else sink.failed.count()
+
+
+def _count(sink: Sink) -> int:
+    return sink.count() if sink.exists() else 0
+
+
+def overwrite(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> WriteStats:
     if df.isEmpty():
         return WriteStats()
-    before = sink.count()
+    before = _count(sink)
     n = sink.replace(df)
-    return WriteStats(source_count=n, count_before=before, count_after=n, processed=n, inserted=n)
+    failed = _failures(sink)
+    return WriteStats(source_count=n + failed, count_before=before, count_after=n, processed=n + failed, inserted=n, failed=failed)
 
 
-def append(df: DataFrame, sink: ParquetSink, keys: Sequence[str] | None = None) -> WriteStats:
+def append(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> WriteStats:
     if df.isEmpty():
         return WriteStats()
-    before = sink.count()
-    n = sink.append(df)
-    return WriteStats(source_count=n, count_before=before, count_after=before + n, processed=n, inserted=n)
+    before = _count(sink)
+    n = sink.append(df, keys)
+    failed = _failures(sink)
+    return WriteStats(source_count=n + failed, count_before=before, count_after=_count(sink) if failed else before + n, processed=n + failed, inserted=n, failed=failed)
 
 
-def truncate(df: DataFrame, sink: ParquetSink, keys: Sequence[str] | None = None) -> WriteStats:
-    before = sink.count()
+def truncate(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> WriteStats:
+    before = _count(sink)
     n = sink.replace(df)
-    return WriteStats(source_count=n, count_before=before, count_after=n, processed=n, inserted=n, truncated=True)
+    failed = _failures(sink)
+    return WriteStats(source_count=n + failed, count_before=before, count_after=n, processed=n + failed, inserted=n, failed=failed, truncated=True)
 
 
 def _counts(rows: DataFrame) -> dict[str, int]:
     return {r["__change"]: r["n"] for r in rows.groupBy("__change").agg(F.count("*").alias("n")).collect()}
 
 
-def upsert(df: DataFrame, sink: ParquetSink, keys: Sequence[str] | None = None) -> WriteStats:
+def upsert(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> WriteStats:
     """Keys must be unique in source and target; else ValueError and nothing is written."""
     target = sink.read()
     if keys:
@@ -85,19 +100,29 @@ def upsert(df: DataFrame, sink: ParquetSink, keys: Sequence[str] | None = None)
     found = _counts(compare(df, target, keys, UNCOMPARED).rows)
     new, changed, same = (found.get(k, 0) for k in ("new", "changed", "unchanged"))
     after = before
+    failed = 0
     if new or changed:
         changes = compare(df, target, keys, UNCOMPARED).of("new", "changed")
-        after = sink.replace(merged(changes, target, keys))
+        if sink.failed is not None:
+            sink.failed = None
+        sink.apply(changes, merged(changes, target, keys), keys)
+        failed = _failures(sink)
+        after = sink.count() if failed else before + new
+    if failed:  # which of the refused rows were new is for the keys to say
+        lost = compare(sink.failed.drop("_error"), target, keys).rows.where("__change = 'new'").count()
+        inserted, updated = new - lost, changed - (failed - lost)
+    else:
+        inserted, updated = new, changed
     return WriteStats(
-        source_count=new + changed + same, count_before=before, count_after=after, processed=new + changed, inserted=new, updated=changed, skipped=same,
-        new_rows=new, existing_rows=changed + same, changed_rows=changed, success=new + changed,
+        source_count=new + changed + same, count_before=before, count_after=after, processed=new + changed, inserted=inserted, updated=updated, skipped=same,
+        new_rows=new, existing_rows=changed + same, changed_rows=changed, success=new + changed - failed, failed=failed,
     )
 
 
 METHODS: dict[str, Callable[..., WriteStats]] = {f.__name__: f for f in (overwrite, append, truncate, upsert)}
 
 
-def run_method(df: DataFrame, sink: ParquetSink, method: str, keys: Sequence[str] | None = None) -> WriteStats:
+def run_method(df: DataFrame, sink: Sink, method: str, keys: Sequence[str] | None = None) -> WriteStats:
     """Write ``df`` by the named method; ValueError for a name that isn't one of the four."""
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}; one of {', '.join(METHODS)}")

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lumbung.operators.upsert_sql import upsert_sql
 from lumbung.session import delete_path, hadoop_path
-from lumbung.sources.jdbc import Target, count_rows, read_columns
+from lumbung.sources.jdbc import Target, count_rows, read_columns, read_query
 
 BATCH_SIZE, WORKERS, PARTITIONS = 5000, 4, 8
 
@@ -31,6 +31,8 @@ class ParquetSink:
     the next access, which moves ``path.old`` back.
     """
 
+    failed: DataFrame | None = None  # a Parquet write succeeds or fails as a whole
+
     def __init__(self, spark: SparkSession, path: str, sort: Sequence[str] = (), partition_by: str | None = None):
         self.spark, self.path, self.sort, self.partition_by = spark, path.rstrip("/"), list(sort), partition_by
 
@@ -89,7 +91,11 @@ class ParquetSink:
         delete_path(self.spark, f"{self.path}.old")
         return seen.get["n"]
 
-    def append(self, df: DataFrame) -> int:
+    def apply(self, changes: DataFrame, whole: DataFrame, keys: Sequence[str]) -> int:
+        """Bring the table to ``whole``, its merged state. Rows of the new table."""
+        return self.replace(whole)
+
+    def append(self, df: DataFrame, keys: Sequence[str] | None = None) -> int:
         """Rows added. Spark's committer publishes the files of a job only when all tasks succeeded."""
         self.recover()
         df, seen = counted(df)
@@ -98,10 +104,18 @@ class ParquetSink:
 
 
 class JdbcSink:
-    """A database table written by Spark's JDBC writer; an overwrite truncates and keeps the table's schema."""
+    """A database table written by Spark's JDBC writer; an overwrite truncates and keeps the table's schema.
+
+    With ``connect``, which is called on executors and returns a DB-API connection, upserts send only
+    the changed rows, and a native write that fails is done again row-wise with failing rows set aside
+    in ``failed``: after a truncation, or by key, where repeating a row changes nothing. An append
+    without keys is not repeated, because a part of it may have been written. Without ``connect`` an
+    upsert replaces the table by its merged state, which is kept on the shared storage first.
+    """
 
-    def __init__(self, spark: SparkSession, target: Target, batch_size: int = 10_000, partitions: int = PARTITIONS, isolation: str = "READ_COMMITTED"):
-        self.spark, self.target, self.batch_size, self.partitions, self.isolation = spark, target, batch_size, partitions, isolation
+    def __init__(self, spark: SparkSession, target: Target, batch_size: int = 10_000, partitions: int = PARTITIONS, isolation: str = "READ_COMMITTED", connect: Callable[[], object] | None = None):
+        self.spark, self.target, self.batch_size, self.partitions, self.isolation, self.connect = spark, target, batch_size, partitions, isolation, connect
+        self.failed: DataFrame | None = None
 
     def _write(self, df: DataFrame, mode: str) -> int:
         # the JDBC writer runs a plan of its own, which observes nothing: count what is kept for it
@@ -114,17 +128,51 @@ class JdbcSink:
         finally:
             kept.unpersist()
 
+    def _row_wise(self, df: DataFrame, keys: Sequence[str] | None) -> int:
+        out = write_rows(df, self.connect, self.target.dialect.name, self.target.table, keys)
+        self.failed = out.failed if out.failed_count else None
+        return out.success
+
+    def truncate(self) -> None:
+        self._write(self.read().limit(0), "overwrite")
+
     def replace(self, df: DataFrame) -> int:
-        return self._write(df, "overwrite")
+        self.failed = None
+        try:
+            return self._write(df, "overwrite")
+        except Exception:  # noqa: BLE001  whatever the driver raises
+            if self.connect is None:
+                raise
+            self.truncate()
+            return self._row_wise(df, None)
+
+    def append(self, df: DataFrame, keys: Sequence[str] | None = None) -> int:
+        self.failed = None
+        try:
+            return self._write(df, "append")
+        except Exception:  # noqa: BLE001
+            if self.connect is None or not keys:
+                raise
+            return self._row_wise(df, keys)
 
-    def append(self, df: DataFrame) -> int:
-        return self._write(df, "append")
+    def apply(self, changes: DataFrame, whole: DataFrame, keys: Sequence[str]) -> int:
+        """Bring the table to ``whole``, its merged state; ``changes`` are the rows that differ. Rows written."""
+        self.failed = None
+        if self.connect is not None:
+            return self._row_wise(changes, keys)
+        from lumbung.session import cut
+
+        return self.replace(cut(whole))
+
+    def exists(self) -> bool:
+        return True
 
     def count(self) -> int:
         return count_rows(self.spark, self.target)
 
-    def read(self, columns: Sequence[str]) -> DataFrame:
-        return read_columns(self.spark, self.target, columns)
+    def read(self, columns: Sequence[str] | None = None) -> DataFrame:
+        """The table, or some columns of it, as a lazy scan; a table that can't be read raises."""
+        return read_columns(self.spark, self.target, columns) if columns else read_query(self.spark, self.target, f"SELECT * FROM {self.target.table}")
 
 
 @dataclass(frozen=True)

@@ -150,3 +150,8 @@ def read_keys(spark: SparkSession, target: Target, keys: Sequence[str]) -> DataF
 def count_rows(spark: SparkSession, target: Target) -> int:
     """Rows of the target, counted by the database."""
     return int(read_query(spark, target, f"SELECT COUNT(*) AS n FROM {target.table}").first()[0])
+
+
+def truncate_sql(target: Target) -> str:
+    """The statement that empties the target in its dialect."""
+    return target.dialect.truncate.format(table=target.table)

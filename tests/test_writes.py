@@ -207,6 +207,65 @@ def test_jdbc_round_trip(spark):
         jdbc.count_rows(spark, jdbc.Target(target.url, "NOSUCH"))
 
 
+def test_methods_on_a_database(spark):
+    target = jdbc.Target(jdbc.jdbc_url("derby", "", 0, "methods"), "T")
+    sink = JdbcSink(spark, target, partitions=1)
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, v string")
+    sink.replace(df)
+    assert run_method(df.where("false"), sink, "overwrite").processed == 0 and sink.count() == 3
+    changes = spark.createDataFrame([(2, "B"), (3, None), (4, "d")], df.schema)
+    stats = run_method(changes, sink, "upsert", ["id"])
+    assert (stats.inserted, stats.updated, stats.skipped, stats.failed, stats.count_after) == (1, 1, 1, 0, 4)
+    assert rows(sink.read()) == [(1, "a"), (2, "B"), (3, None), (4, "d")]
+    assert run_method(changes, sink, "upsert", ["id"]).processed == 0
+    assert run_method(changes, sink, "append").count_after == 7
+    assert run_method(changes, sink, "upsert").inserted == 0
+    assert run_method(df.where("false"), sink, "truncate").truncated and sink.count() == 0
+    sink.replace(df)
+    sink.truncate()
+    assert sink.count() == 0 and sink.read().columns == ["id", "v"]
+    assert jdbc.truncate_sql(target) == "TRUNCATE TABLE T" and jdbc.truncate_sql(jdbc.Target("jdbc:postgresql://h:1/d", "t")) == "TRUNCATE TABLE t CASCADE"
+
+
+class _SqliteSink(JdbcSink):
+    """A sink whose native writer always fails, over a database that only a Python driver reaches."""
+
+    def __init__(self, spark, path):
+        super().__init__(spark, jdbc.Target(f"jdbc:sqlite:{path}", "t"), connect=lambda: sqlite3.connect(path, timeout=60))
+        self.path = path
+
+    def _write(self, df, mode):
+        raise OSError("no native writer")
+
+    def truncate(self):
+        with sqlite3.connect(self.path) as c:
+            c.execute(jdbc.truncate_sql(self.target))
+
+    def read(self, columns=None):
+        with sqlite3.connect(self.path) as c:
+            return self.spark.createDataFrame(c.execute("SELECT id, v FROM t").fetchall(), "id int, v string")
+
+    def count(self):
+        return self.read().count()
+
+
+def test_fallback_sets_refused_rows_aside(spark, tmp_path):
+    path = f"{tmp_path}/f.db"
+    with sqlite3.connect(path) as c:
+        c.execute('CREATE TABLE t ("id" INTEGER PRIMARY KEY, "v" TEXT NOT NULL)')
+    sink = _SqliteSink(spark, path)
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, v string")
+    stats = run_method(df, sink, "overwrite")
+    assert (stats.inserted, stats.failed, sink.count()) == (2, 1, 2) and sink.failed.first()["id"] == 2
+    stats = run_method(spark.createDataFrame([(1, None), (3, "C"), (4, "d"), (5, None)], df.schema), sink, "upsert", ["id"])
+    assert (stats.inserted, stats.updated, stats.failed, stats.success, stats.count_after) == (1, 1, 2, 2, 3)
+    assert rows(sink.read()) == [(1, "a"), (3, "C"), (4, "d")]
+    stats = run_method(df, sink, "append", ["id"])
+    assert (stats.inserted, stats.failed, stats.count_after) == (2, 1, 3)
+    with pytest.raises(OSError):
+        run_method(df, sink, "append")
+
+
 def test_rows_over_a_driver(spark, tmp_path):
     path = f"{tmp_path}/x.db"
     with sqlite3.connect(path) as c:
