@@ -68,9 +68,11 @@ class ParquetSink:
 
     def _write(self, df: DataFrame, path: str, mode: str) -> None:
         if self.partition_by:
-            df = df.repartition(self.partition_by, *self.sort[:1])
+            # a partition goes to one task unless it is large: AQE splits those and joins small ones
+            df = df.hint("rebalance", self.partition_by)
         if self.sort:
-            df = df.sortWithinPartitions(*self.sort)
+            # the writer wants rows by partition; with it first in the order it need not sort again
+            df = df.sortWithinPartitions(*filter(None, [self.partition_by]), *self.sort)
         writer = df.write.mode(mode)
         (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(path)
 
