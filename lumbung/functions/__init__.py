@@ -84,3 +84,12 @@ def exact_sum(column: Column | str) -> Column:
     """
     c = F.col(column) if isinstance(column, str) else column
     return F.sum(F.when(is_finite(c) & (F.abs(c) < 1e22), c).cast("decimal(28,6)")).cast("double")
+
+
+def text_digest(columns: list[str]) -> Column:
+    """MD5 of the values as text, joined by ``||``, null as the word NULL.
+
+    For comparison with digests that other tools stored. Rows may look alike to it (null and the word
+    NULL, values that hold the separator); ``operators.merge`` compares without it.
+    """
+    return F.md5(F.concat_ws("||", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")) for c in columns)))

@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame, functions as F
 from lumbung import functions as fn
 
 
-def key_ranges(df: DataFrame, fields: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """``in_field, key_id`` per field of ``fields``, with ``order`` and ``values``, in balanced ranges.
+def key_ranges(df: DataFrame, fields: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """``in_field, key_id, value, o0, o1…`` per field of ``fields`` in balanced ranges; ``o0…`` are the order columns.
 
     Fields must have integer keys; a null key is a key like any other.
     """
     picked = [F.struct(F.lit(f).alias("in_field"), F.col(f"`{f}`").cast("long").alias("key_id")) for f in fields]
-    rest = [F.col(f"`{c}`") for c in dict.fromkeys([*order, *values])]
-    rows = df.select(*rest, F.explode(F.array(*picked)).alias("__k")).select("__k.in_field", "__k.key_id", *rest)
-    return rows.repartitionByRange("in_field", "key_id", *(F.col(f"`{c}`") for c in order))
+    orders = [f"o{i}" for i in range(len(order))]
+    rows = df.select(F.col(f"`{value}`").alias("value"), *(F.col(f"`{c}`").alias(o) for c, o in zip(order, orders)), F.explode(F.array(*picked)).alias("k"))
+    return rows.select("k.in_field", "k.key_id", "value", *orders).repartitionByRange("in_field", "key_id", *orders)
 
 
 def key_totals(df: DataFrame, fields: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
@@ -33,19 +33,23 @@ def key_totals(df: DataFrame, fields: Sequence[str], value: str, order: Sequence
     ``n_values`` counts the finite values and ``sum_value`` is their exact sum (null without any;
     NaN and infinite values add nothing). ``first_order`` and ``last_order`` are the least and the
     greatest value of the first order column. ``share`` is the key's part of all rows of its field,
-    as delivered. Empty input gives no row.
+    as delivered. Repeated rows count each; other columns are ignored, whatever their names. Empty
+    input gives no row.
     """
-    ranges = key_ranges(df, fields, order, [value])
-    totals = ranges.groupBy("in_field", "key_id").agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(fn.is_finite(F.col(f"`{value}`"))).alias("n_values"),
-        fn.exact_sum(F.col(f"`{value}`")).alias("sum_value"),
-        F.min(F.col(f"`{order[0]}`")).alias("first_order"),
-        F.max(F.col(f"`{order[0]}`")).alias("last_order"),
+    totals = (
+        key_ranges(df, fields, order, value)
+        .groupBy("in_field", "key_id")
+        .agg(
+            F.count("*").alias("n_rows"),
+            F.count_if(fn.is_finite("value")).alias("n_values"),
+            fn.exact_sum("value").alias("sum_value"),
+            F.min("o0").alias("first_order"),
+            F.max("o0").alias("last_order"),
+        )
     )
     # one row per field, counted from file footers where there is no filter
-    sizes = df.agg(F.count("*").alias("__n")).select("__n", F.explode(F.array(*map(F.lit, fields))).alias("in_field"))
-    return totals.join(F.broadcast(sizes), "in_field").withColumn("share", F.col("n_rows") / F.col("__n")).drop("__n")
+    sizes = df.agg(F.count("*").alias("n")).select("n", F.explode(F.array(*map(F.lit, fields))).alias("in_field"))
+    return totals.join(F.broadcast(sizes), "in_field").withColumn("share", F.col("n_rows") / F.col("n")).drop("n")
 
 
 def heavy_keys(df: DataFrame, fields: Sequence[str], value: str, order: Sequence[str], share: float) -> DataFrame:

@@ -6,7 +6,7 @@ lists run on the delivered mart tables. SQL for checking stands beside each quer
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
@@ -17,9 +17,10 @@ from lumbung import functions as fn
 from lumbung.operators import merge
 from lumbung.operators.methods import run_method
 from lumbung.operators.quality import check_mart
-from lumbung.operators.sinks import ParquetSink
+from lumbung.operators.sinks import JdbcSink, ParquetSink
 from lumbung.plans import builders, dashboards as dash
 from lumbung.plans.adapter_sql import with_sources
+from lumbung.sources import jdbc
 from lumbung.sources.adapter import AdaptedTables
 from lumbung.sources.tables import Tables
 
@@ -206,6 +207,10 @@ for _name, _table, _columns, _sql in (
     _register(_name, _expression(_table, *_columns), with_sources(_sql, _table))
 
 
+_DIGESTED = ["id", "name", "type", "country"]
+_register("expr_text_digest", _expression("entities", "id", lambda: fn.text_digest(_DIGESTED).alias("digest")), with_sources("SELECT id, md5(concat_ws('||', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NULL')" for c in _DIGESTED) + ")) AS digest FROM entities", "entities"))
+
+
 # --- joins and aggregates -------------------------------------------------------------------------
 
 
@@ -320,7 +325,7 @@ def _written(method: str, empty: bool = False, keys: list[str] | None = None) ->
         from lumbung.session import shared_dir
 
         folder = shared_dir(spark).rstrip("/")
-        sink = ParquetSink(spark, f"{folder}/write-{method}-{next(tempfile._get_candidate_names())}")
+        sink = ParquetSink(spark, f"{folder}/write-{method}-{uuid.uuid4().hex}")
         sink.replace(_target(spark, d))
         run_method(_source(spark, d).where(F.lit(not empty)), sink, method, keys)
         return sink.read()
@@ -340,6 +345,58 @@ _register("write_overwrite_empty_noop", _written("overwrite", empty=True), f"WIT
 _register("write_upsert_result", _written("upsert", keys=["entity_id"]), f"WITH {_NOW_SQL} SELECT * FROM now_rows")
 
 
+# --- databases -------------------------------------------------------------------------------------
+# The embedded database lives in the driver, so these queries are for local sessions.
+
+
+def _database(spark: SparkSession, d: str, table: str, *columns: str) -> JdbcSink:
+    """A database table with some columns of a mart table."""
+    sink = JdbcSink(spark, jdbc.Target(jdbc.jdbc_url("derby", "", 0, f"catalog{uuid.uuid4().hex}"), table.upper()), partitions=2)
+    sink.replace(Tables(spark, d)[table].select(*columns))
+    return sink
+
+
+def source_jdbc_query(spark: SparkSession, d: str) -> DataFrame:
+    sink = _database(spark, d, "dim_material", "material_id", "is_vaccine")
+    return jdbc.read_query(spark, sink.target, 'SELECT "is_vaccine", COUNT(*) AS "n_rows" FROM DIM_MATERIAL WHERE "material_id" > 10 GROUP BY "is_vaccine"').withColumn("n_rows", F.col("n_rows").cast("long"))
+
+
+def source_jdbc_split(spark: SparkSession, d: str) -> DataFrame:
+    sink = _database(spark, d, "dim_material", "material_id", "category")
+    return jdbc.read_query(spark, sink.target, 'SELECT "material_id", "category" FROM DIM_MATERIAL', jdbc.Split("material_id", 0, 300, 4)).where("material_id > 20")
+
+
+def source_jdbc_keys(spark: SparkSession, d: str) -> DataFrame:
+    return jdbc.read_keys(spark, _database(spark, d, "bridge_entity_tag", "entity_id", "tag_id").target, ["entity_id", "tag_id"])
+
+
+def source_jdbc_columns(spark: SparkSession, d: str) -> DataFrame:
+    return jdbc.read_columns(spark, _database(spark, d, "dim_entity_tag", "tag_id", "tag_name").target, ["tag_name"])
+
+
+def source_jdbc_count(spark: SparkSession, d: str) -> DataFrame:
+    n = jdbc.count_rows(spark, _database(spark, d, "dim_activity", "activity_id").target)
+    return spark.createDataFrame([(n,)], "n_rows long")
+
+
+def sink_jdbc_upsert(spark: SparkSession, d: str) -> DataFrame:
+    sink = JdbcSink(spark, jdbc.Target(jdbc.jdbc_url("derby", "", 0, f"catalog{uuid.uuid4().hex}"), "T"), partitions=2)
+    sink.replace(_target(spark, d))
+    run_method(_source(spark, d), sink, "upsert", ["entity_id"])
+    return sink.read()
+
+
+for _q, _sql in (
+    (source_jdbc_query, "SELECT is_vaccine, count(*) AS n_rows FROM dim_material WHERE material_id > 10 GROUP BY is_vaccine"),
+    (source_jdbc_split, "SELECT material_id, category FROM dim_material WHERE material_id > 20"),
+    (source_jdbc_keys, "SELECT DISTINCT entity_id, tag_id FROM bridge_entity_tag"),
+    (source_jdbc_columns, "SELECT tag_name FROM dim_entity_tag"),
+    (source_jdbc_count, "SELECT count(*) AS n_rows FROM dim_activity"),
+    (sink_jdbc_upsert, f"WITH {_NOW_SQL} SELECT * FROM now_rows"),
+):
+    _register(_q.__name__, _q, _sql)
+
+
 def quality_checks(spark: SparkSession, d: str) -> DataFrame:
     return check_mart(built_mart(spark, d), ["dim_location", "dim_material", "dim_activity", "dim_entity_tag", "bridge_entity_tag", "fact_stock_snapshot"])
 

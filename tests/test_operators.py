@@ -100,6 +100,8 @@ def test_key_totals(spark):
             assert (x["first_order"], x["last_order"]) == (min(order), max(order))
     assert rows(skew.heavy_keys(df, ["entity_id"], "q", ["at"], 0.5).select("key_id")) == [(7,)]
     assert skew.key_totals(df.where("false"), ["entity_id"], "q", ["at"]).count() == 0
+    clash = df.selectExpr("entity_id AS value", "q AS key_id", "at AS in_field", "1 AS n", "2 AS o0", "3 AS share")
+    assert rows(skew.heavy_keys(clash, ["value"], "key_id", ["in_field"], 0.5).select("in_field", "key_id")) == [("value", 7)]
 
 
 def test_a_hot_key_is_cut_over_partitions(spark):
@@ -107,7 +109,7 @@ def test_a_hot_key_is_cut_over_partitions(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         df = spark.range(20_000).select(F.lit(1).alias("entity_id"), F.col("id").alias("at"), F.lit(1.0).alias("q"))
-        sizes = [r["count"] for r in skew.key_ranges(df, ["entity_id"], ["at"], ["q"]).groupBy(F.spark_partition_id()).count().collect()]
+        sizes = [r["count"] for r in skew.key_ranges(df, ["entity_id"], ["at"], "q").groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)

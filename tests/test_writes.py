@@ -11,7 +11,7 @@ from lumbung.operators.methods import run_method
 from lumbung.operators.quality import check_mart
 from lumbung.operators.sinks import JdbcSink, ParquetSink, write_rows
 from lumbung.operators.upsert_sql import upsert_sql
-from lumbung.plans import pipeline
+from lumbung.plans import ddl, pipeline
 from lumbung.session import hadoop_path
 from lumbung.sources import jdbc
 from lumbung.sources.adapter import AdaptedTables
@@ -301,6 +301,19 @@ def test_runner_and_checks(spark, sf, tmp_path):
     assert found["dim_entity", "unique(entity_id)"] == 0 and found["fact_stock_snapshot", "references(entity_id)"] > 0
 
 
+def test_empty_mart_and_its_statements(spark, sf, tmp_path):
+    assert ddl.create_mart(spark, str(tmp_path)) == list(ddl.MART) and ddl.create_mart(spark, str(tmp_path)) == []
+    assert spark.read.parquet(f"{tmp_path}/fact_stock_snapshot.parquet").columns[-1] == "stock_month"
+    pipeline.run(spark, AdaptedTables(spark, sf), str(tmp_path), [pipeline.TableJob("dim_entity")])
+    spark.sql(ddl.create_table_sql("dim_entity", str(tmp_path)))
+    try:
+        spark.sql("MSCK REPAIR TABLE dim_entity")
+        assert spark.table("dim_entity").count() == 147
+    finally:
+        spark.sql("DROP TABLE dim_entity")
+    assert "PARTITIONED BY (stock_month)" in ddl.create_table_sql("fact_stock_snapshot", "/x")
+
+
 def test_runner_stops_at_the_first_failure(spark, sf, tmp_path):
     with pytest.raises(KeyError):
         pipeline.run(spark, {}, str(tmp_path), [pipeline.TableJob("dim_date"), pipeline.TableJob("dim_material"), pipeline.TableJob("dim_entity")])
