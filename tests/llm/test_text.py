@@ -238,7 +238,7 @@ CASES = {
         "Home | Login | Help | Home | Print | Help | Login | Home", "[00:20:55] ERROR sync.pull rc=47 id=0xc06dfa75\n[06:04:02] INFO sync.push rc=87 id=0x41c739d6",
         "S e j a k h u j a n d e r a s p e k a n", '<div class="c1"><span style="top:5px"></span></div>' * 6,
         "pdjqp jwlelkdhrg ddjrr dsssr hglkp jfp kwfd ftwfwkk ssjrpfd hgryrrr", "SÃ¡Ã¡t sÃ©rÃ¡h tÃ©rÂ¬mÃ¡ jÃ¡gÃ¡ kÃ³Ã³rdÂ¬nÃ¡tÃ³r",
-        "-----\n=====\n*****\n.....",
+        "-----\n=====\n*****\n.....", "=" * 90, "-----\n-----\n======",
     ],
 }
 
