@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
@@ -176,8 +176,13 @@ def _code(p: Profiled, c: str, edges: Sequence[float]) -> Column:
 
 
 def _coded(tables: Sequence[Profiled]) -> tuple[list[_Coded], DataFrame]:
-    """Rows ``grp, fold, codes`` of all tables, where ``grp`` is the load and ``codes`` the active features."""
+    """Rows ``grp, fold, codes`` of all tables, where ``grp`` is the load and ``codes`` the active features.
+
+    All rows have equally many codes: tables with fewer columns repeat a code of no column, the last.
+    """
     layout, parts, code, group = [], [], 0, 0
+    widest = max(len(p.numbers) + len(p.texts) for p in tables)
+    none = sum((RANGES + 2) * len(p.numbers) + (CLASSES + 2) * len(p.texts) for p in tables)
     for p in tables:
         columns = (*p.numbers, *p.texts)
         marks = [i / RANGES for i in range(1, RANGES)]
@@ -187,7 +192,7 @@ def _coded(tables: Sequence[Profiled]) -> tuple[list[_Coded], DataFrame]:
         at = _Coded(p, columns, tuple(RANGES + 2 if c in p.numbers else CLASSES + 2 for c in columns), code, loads, group)
         layout.append(at)
         number = F.create_map(*(x for i, v in enumerate(loads) for x in (F.lit(v), F.lit(group + i)))) if loads else F.lit(None).cast("map<int,int>")
-        codes = F.array(*((_code(p, c, edges.get(c, ())) + o).cast("short") for c, o in zip(columns, at.offsets())))
+        codes = F.array(*((_code(p, c, edges.get(c, ())) + o).cast("short") for c, o in zip(columns, at.offsets())), *[F.lit(none).cast("short")] * (widest - len(columns)))
         fold = F.pmod(F.xxhash64(F.col(f"`{p.key}`"), *(F.col(f"`{c}`") for c in columns)), F.lit(2)).cast("byte")
         parts.append(p.rows.where(F.col(f"`{p.load}`").isNotNull()).select(F.element_at(number, F.col(f"`{p.load}`")).cast("short").alias("grp"), fold.alias("fold"), codes.alias("codes")))
         code += sum(at.widths)
@@ -195,18 +200,30 @@ def _coded(tables: Sequence[Profiled]) -> tuple[list[_Coded], DataFrame]:
     return layout, reduce(DataFrame.unionByName, parts)
 
 
-def _blocks(pdf: pd.DataFrame, spans: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def _blocks(batch: pa.RecordBatch, spans: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(pair, label, fold, codes of n rows) per load and fold of a batch; a load is in two pairs.
 
     ``spans`` holds the first and last group of each table.
     """
-    for (grp, fold), rows in pdf.groupby(["grp", "fold"], sort=False):
+    if not batch.num_rows:
+        return
+    codes = batch.column("codes").flatten().to_numpy().reshape(batch.num_rows, -1)
+    kind = batch.column("grp").to_numpy().astype(np.int64) * 2 + batch.column("fold").to_numpy()
+    for k in np.unique(kind).tolist():
+        grp, fold = divmod(k, 2)
         first, last = next(s for s in spans if s[0] <= grp <= s[1])
-        codes = np.stack(rows["codes"].to_numpy())
+        own = codes[kind == k]
         if grp > first:
-            yield int(grp), 1, int(fold), codes
+            yield grp, 1, fold, own
         if grp < last:
-            yield int(grp) + 1, 0, int(fold), codes
+            yield grp + 1, 0, fold, own
+
+
+def _sums(names: Sequence[str], totals: Mapping[tuple[int, ...], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The nonzero entries of arrays by key, as rows of the key, the place and the value."""
+    for key, values in totals.items():
+        at = np.flatnonzero(values)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), k, np.int32)) for k in key), pa.array(at.astype(np.int32)), pa.array(values[at])], names=list(names))
 
 
 def _spans(layout: Sequence[_Coded]) -> list[tuple[int, int]]:
@@ -240,21 +257,19 @@ def _train(rows: DataFrame, layout: Sequence[_Coded], counts: np.ndarray, steps:
     for step in range(steps):
         point, w = ahead, weight
 
-        def gradient(batches: Iterator[pd.DataFrame], point=point, w=w) -> Iterator[pd.DataFrame]:
-            total: dict[tuple[int, int], np.ndarray] = {}
-            for pdf in batches:
-                for pair, label, fold, codes in _blocks(pdf, spans):
+        def gradient(batches: Iterator[pa.RecordBatch], point=point, w=w) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, ...], np.ndarray] = {}
+            for batch in batches:
+                for pair, label, fold, codes in _blocks(batch, spans):
                     b = point[pair, 1 - fold]  # rows of a fold train the other fold's model
                     r = (label - _sigmoid(b[codes].sum(axis=1))) * w[pair, 1 - fold, label]
                     g = np.bincount(codes.ravel(), np.repeat(r, codes.shape[1]), minlength=n_codes)
                     key = (pair, 1 - fold)
                     total[key] = total[key] + g if key in total else g
-            for (pair, fold), g in total.items():
-                at = np.flatnonzero(g)
-                yield pd.DataFrame({"pair": pair, "fold": fold, "code": at, "g": g[at]})
+            yield from _sums(("pair", "fold", "code", "g"), total)
 
         grad = np.zeros_like(beta)
-        for r in rows.mapInPandas(gradient, "pair int, fold int, code int, g double").groupBy("pair", "fold", "code").agg(F.sum("g").alias("g")).collect():
+        for r in rows.mapInArrow(gradient, "pair int, fold int, code int, g double").groupBy("pair", "fold", "code").agg(F.sum("g").alias("g")).collect():
             grad[r["pair"], r["fold"], r["code"]] = r["g"]
         beta = point + scale * grad
         ahead = beta + (step / (step + 3)) * (beta - before)
@@ -286,10 +301,10 @@ def _scored(rows: DataFrame, layout: Sequence[_Coded], beta: np.ndarray) -> dict
     """Histograms [label, bin] of held-out scores per (pair, ablated column; -1 for none)."""
     spans = _spans(layout)
 
-    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[int, int, int], np.ndarray] = {}
-        for pdf in batches:
-            for pair, label, fold, codes in _blocks(pdf, spans):
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, ...], np.ndarray] = {}
+        for batch in batches:
+            for pair, label, fold, codes in _blocks(batch, spans):
                 parts = beta[pair, fold][codes]
                 full = parts.sum(axis=1)
                 for j in range(-1, codes.shape[1]):
@@ -297,12 +312,10 @@ def _scored(rows: DataFrame, layout: Sequence[_Coded], beta: np.ndarray) -> dict
                     h = np.bincount(np.clip((_sigmoid(score) * BINS).astype(np.int64), 0, BINS - 1), minlength=BINS)
                     key = (pair, label, j)
                     total[key] = total[key] + h if key in total else h
-        for (pair, label, j), h in total.items():
-            at = np.flatnonzero(h)
-            yield pd.DataFrame({"pair": pair, "label": label, "without": j, "bin": at, "n": h[at]})
+        yield from _sums(("pair", "label", "without", "bin", "n"), total)
 
     out: dict[tuple[int, int], np.ndarray] = {}
-    for r in rows.mapInPandas(histogram, "pair int, label int, without int, bin int, n long").groupBy("pair", "label", "without", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(histogram, "pair int, label int, without int, bin int, n long").groupBy("pair", "label", "without", "bin").agg(F.sum("n").alias("n")).collect():
         out.setdefault((r["pair"], r["without"]), np.zeros((2, BINS)))[r["label"], r["bin"]] = r["n"]
     return out
 
@@ -325,7 +338,7 @@ def load_discrimination(tables: Sequence[Profiled], steps: int = STEPS, toleranc
     with Scratch(spark) as scratch:
         rows = scratch.table("codes", rows)
         n_groups = max((at.first_group + len(at.loads) for at in layout), default=0)
-        n_codes = sum(sum(at.widths) for at in layout)
+        n_codes = sum(sum(at.widths) for at in layout) + 1
         counts = np.zeros((n_groups, 2, n_codes))
         for r in rows.select("grp", "fold", F.explode("codes").alias("code")).groupBy("grp", "fold", "code").count().collect():
             counts[r["grp"], r["fold"], r["code"]] = r["count"]
