@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lumbung.operators.upsert_sql import upsert_sql
 from lumbung.session import delete_path, hadoop_path
-from lumbung.sources.jdbc import Target, count_rows, read_columns, read_query
+from lumbung.sources.jdbc import Target, count_rows, read_columns, read_query, truncate_sql
 
 BATCH_SIZE, WORKERS, PARTITIONS = 5000, 4, 8
 
@@ -106,7 +107,11 @@ class ParquetSink:
 
 
 class JdbcSink:
-    """A database table written by Spark's JDBC writer; an overwrite truncates and keeps the table's schema.
+    """A database table written by Spark's JDBC writer.
+
+    An overwrite empties the table by its dialect's statement and appends, so the declared schema, keys
+    and rights stay; Spark's own overwrite drops and makes anew the tables of databases it has no
+    dialect for.
 
     With ``connect``, which is called on executors and returns a DB-API connection, upserts send only
     the changed rows, and a native write that fails is done again row-wise with failing rows set aside
@@ -124,8 +129,10 @@ class JdbcSink:
         kept = df.persist()
         try:
             n = kept.count()
+            if mode == "overwrite" and self.exists():
+                self.truncate()
             writer = kept.write.format("jdbc").options(**self.target.options()).option("dbtable", self.target.table)
-            writer.option("batchsize", self.batch_size).option("isolationLevel", self.isolation).option("truncate", "true").option("numPartitions", self.partitions).mode(mode).save()
+            writer.option("batchsize", self.batch_size).option("isolationLevel", self.isolation).option("numPartitions", self.partitions).mode("append").save()
             return n
         finally:
             kept.unpersist()
@@ -135,8 +142,20 @@ class JdbcSink:
         self.failed = out.failed if out.failed_count else None
         return out.success
 
+    def _execute(self, sql: str) -> None:
+        """Run one statement from the driver, through the same JDBC driver that Spark uses."""
+        jvm, t = self.spark._jvm, self.target
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(t.options()["driver"])
+        connection = jvm.java.sql.DriverManager.getConnection(t.url, t.user, t.password) if t.user else jvm.java.sql.DriverManager.getConnection(t.url)
+        try:
+            statement = connection.createStatement()
+            statement.execute(sql)
+            statement.close()
+        finally:
+            connection.close()
+
     def truncate(self) -> None:
-        self._write(self.read().limit(0), "overwrite")
+        self._execute(truncate_sql(self.target))
 
     def replace(self, df: DataFrame) -> int:
         self.failed = None
@@ -167,6 +186,12 @@ class JdbcSink:
         return self.replace(cut(whole))
 
     def exists(self) -> bool:
+        """Whether the table can be selected from; a connection that fails raises."""
+        self._execute(self.target.dialect.ping)
+        try:
+            self._execute(f"SELECT 1 FROM {self.target.table} WHERE 1 = 0")
+        except Py4JJavaError:
+            return False
         return True
 
     def count(self) -> int:

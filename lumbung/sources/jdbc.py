@@ -15,7 +15,8 @@ class Dialect:
     """What differs between databases.
 
     ``url`` builds a JDBC URL; ``scheme`` recognises one; ``sql_url`` is the scheme and suffix of a
-    URL for executor-side Python drivers; ``truncate`` is the statement that empties a table.
+    URL for executor-side Python drivers; ``truncate`` is the statement that empties a table and
+    ``ping`` one that any session may run.
     """
 
     name: str
@@ -25,6 +26,7 @@ class Dialect:
     sql_url: tuple[str, str] | None = None
     quote: str = '"'
     truncate: str = "TRUNCATE TABLE {table}"
+    ping: str = "SELECT 1"
 
 
 # URL forms, driver classes and URL options that connections need.
@@ -35,9 +37,9 @@ DIALECTS: dict[str, Dialect] = {
         Dialect("mssql", "sqlserver", lambda h, p, d: f"jdbc:sqlserver://{h}:{p};databaseName={d};encrypt=true;trustServerCertificate=true;", "com.microsoft.sqlserver.jdbc.SQLServerDriver", ("mssql+pyodbc", "?driver=ODBC+Driver+17+for+SQL+Server&TrustServerCertificate=yes")),
         Dialect("mysql", "mysql", lambda h, p, d: f"jdbc:mysql://{h}:{p}/{d}", "com.mysql.cj.jdbc.Driver", ("mysql+pymysql", ""), quote="`"),
         Dialect("mariadb", "mariadb", lambda h, p, d: f"jdbc:mariadb://{h}:{p}/{d}", "org.mariadb.jdbc.Driver", ("mariadb+pymysql", ""), quote="`"),
-        Dialect("oracle", "oracle", lambda h, p, d: f"jdbc:oracle:thin:@{h}:{p}/{d}", "oracle.jdbc.OracleDriver", ("oracle+cx_oracle", ""), truncate="TRUNCATE TABLE {table} CASCADE"),
+        Dialect("oracle", "oracle", lambda h, p, d: f"jdbc:oracle:thin:@{h}:{p}/{d}", "oracle.jdbc.OracleDriver", ("oracle+cx_oracle", ""), truncate="TRUNCATE TABLE {table} CASCADE", ping="SELECT 1 FROM DUAL"),
         Dialect("clickhouse", "clickhouse", lambda h, p, d: f"jdbc:clickhouse://{h}:{p}/{d}", "com.clickhouse.jdbc.ClickHouseDriver", quote="`", truncate="TRUNCATE TABLE {table}"),
-        Dialect("derby", "derby", lambda h, p, d: f"jdbc:derby:memory:{d};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"),
+        Dialect("derby", "derby", lambda h, p, d: f"jdbc:derby:memory:{d};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver", ping="VALUES 1"),
         Dialect("sqlite", "sqlite", lambda h, p, d: f"jdbc:sqlite:{d}", "org.sqlite.JDBC", truncate="DELETE FROM {table}"),
     )
 }

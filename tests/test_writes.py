@@ -227,6 +227,19 @@ def test_methods_on_a_database(spark):
     assert jdbc.truncate_sql(target) == "TRUNCATE TABLE T" and jdbc.truncate_sql(jdbc.Target("jdbc:postgresql://h:1/d", "t")) == "TRUNCATE TABLE t CASCADE"
 
 
+def test_overwrite_keeps_the_declared_schema(spark):
+    sink = JdbcSink(spark, jdbc.Target(jdbc.jdbc_url("derby", "", 0, "declared"), "T"))
+    assert not sink.exists()
+    sink._execute('CREATE TABLE T ("id" INT NOT NULL PRIMARY KEY, "v" VARCHAR(5))')
+    assert sink.exists() and sink.count() == 0
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert sink.replace(df) == 2 and sink.replace(df) == 2 and sink.count() == 2
+    with pytest.raises(Exception, match="truncation|A truncation error"):
+        sink.replace(spark.createDataFrame([(1, "too long")], df.schema))
+    with pytest.raises(Exception):
+        JdbcSink(spark, jdbc.Target("jdbc:derby:memory:nosuch", "T")).exists()
+
+
 class _SqliteSink(JdbcSink):
     """A sink whose native writer always fails, over a database that only a Python driver reaches."""
 
@@ -237,6 +250,9 @@ class _SqliteSink(JdbcSink):
     def _write(self, df, mode):
         raise OSError("no native writer")
 
+    def exists(self):
+        return True
+
     def truncate(self):
         with sqlite3.connect(self.path) as c:
             c.execute(jdbc.truncate_sql(self.target))
