@@ -129,7 +129,7 @@ def pack_documents(df: DataFrame, id_column: str, text_column: str, capacities:
     """
     spark = df.sparkSession
     shards = max(1, -(-df.count() // shard_items))
-    counted = with_token_counts(df, id_column, text_column, vocabulary).withColumn("shard", F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(shards)).cast("int"))
+    counted = with_token_counts(df, id_column, text_column, vocabulary).withColumn("shard", F.pmod(F.xxhash64(F.col(f"`{id_column}`"), F.col("n_tokens")), F.lit(shards)).cast("int"))
     windows = F.array(*(F.struct(F.lit(name).alias("window_name"), F.lit(int(c)).cast("long").alias("capacity")) for name, c in capacities.items()))
     items = counted.withColumnRenamed(id_column, "id").select("id", "n_tokens", "shard", F.explode(windows).alias("w")).select("id", "n_tokens", "shard", "w.*")
     id_type = df.schema[id_column].dataType.simpleString()
