@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lumbung import functions as fn
 from lumbung.operators import merge
 from lumbung.operators.methods import run_method
-from lumbung.operators.quality import check_mart
+from lumbung.operators.quality import REFERENCES, check_mart
 from lumbung.operators.sinks import JdbcSink, ParquetSink
 from lumbung.plans import builders, dashboards as dash
 from lumbung.plans.adapter_sql import with_sources
+from lumbung.schemas import KEYS, MART
 from lumbung.sources import jdbc
 from lumbung.sources.adapter import AdaptedTables
 from lumbung.sources.tables import Tables
@@ -397,8 +398,24 @@ for _q, _sql in (
     _register(_q.__name__, _q, _sql)
 
 
+_CHECKED = [name for name in MART if name != "dim_date"]
+
+
 def quality_checks(spark: SparkSession, d: str) -> DataFrame:
-    return check_mart(built_mart(spark, d), ["dim_location", "dim_material", "dim_activity", "dim_entity_tag", "bridge_entity_tag", "fact_stock_snapshot"])
+    return check_mart(Tables(spark, d), _CHECKED)
+
+
+def _quality_sql() -> str:
+    out = []
+    for name in _CHECKED:
+        keys, filled = KEYS[name], [f.name for f in MART[name] if not f.nullable]
+        repeated = f"SELECT 1 FROM {name} WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)} GROUP BY {', '.join(keys)} HAVING count(*) > 1"
+        out.append(f"SELECT 'unique({', '.join(keys)})' AS \"check\", '{name}' AS \"table\", (SELECT count(*) FROM ({repeated})) AS violations")
+        out.append(f"SELECT 'not_null({', '.join(filled)})', '{name}', (SELECT count(*) FROM {name} WHERE {' OR '.join(f'{c} IS NULL' for c in filled)})")
+    for name, column, parent in REFERENCES:
+        key = KEYS[parent][0]
+        out.append(f"SELECT 'references({column})', '{name}', (SELECT count(*) FROM {name} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent}))")
+    return "\nUNION ALL ".join(out)
 
 
-_register("quality_checks", quality_checks)
+_register("quality_checks", quality_checks, _quality_sql())
