@@ -91,3 +91,21 @@ def merged(source: DataFrame, target: DataFrame, keys: Sequence[str], null_safe_
     t = target.withColumn("__t", F.lit(True)).alias("t")
     pick = lambda c: F.when(F.col("s.__s"), F.col(f"s.{_q(c)}")).otherwise(F.col(f"t.{_q(c)}")) if c in source.columns else F.col(f"t.{_q(c)}")
     return s.join(t, _on(keys, null_safe_keys), "full_outer").select(*(pick(c).alias(c) for c in target.columns))
+
+
+def merged_changes(source: DataFrame, target: DataFrame, keys: Sequence[str], ignore: Sequence[str] = UNCOMPARED, null_safe_keys: bool = False) -> DataFrame:
+    """The target after an upsert with ``__change`` of every row, from one full outer join.
+
+    ``new`` and ``changed`` rows are the source's, ``unchanged`` (in every compared column) and
+    ``kept`` (of no source row) the target's.
+    """
+    both = [c for c in target.columns if c in source.columns]
+    compared = [c for c in both if c not in keys and c not in ignore]
+    s = source.select(*map(_q, both)).withColumn("__s", F.lit(True)).alias("s")
+    t = target.withColumn("__t", F.lit(True)).alias("t")
+    pack = lambda side: F.struct(*(F.col(f"{side}.{_q(c)}") for c in compared)) if compared else F.lit(0)
+    change = F.when(F.col("s.__s").isNull(), "kept").when(F.col("t.__t").isNull(), "new").when(~pack("s").eqNullSafe(pack("t")), "changed").otherwise("unchanged")
+    rows = s.join(t, _on(keys, null_safe_keys), "full_outer").withColumn("__change", change)
+    won = F.col("__change").isin("new", "changed")
+    pick = lambda c: F.when(won, F.col(f"s.{_q(c)}")).otherwise(F.col(f"t.{_q(c)}")) if c in both else F.col(f"t.{_q(c)}")
+    return rows.select(*(pick(c).alias(c) for c in target.columns), "__change")

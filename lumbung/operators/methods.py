@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumbung.operators.merge import UNCOMPARED, check_unique, compare, merged, missing_rows
+from lumbung.operators.merge import check_unique, compare, merged, merged_changes, missing_rows
 from lumbung.operators.sinks import JdbcSink, ParquetSink
 
 Sink = ParquetSink | JdbcSink
@@ -97,25 +97,23 @@ def upsert(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> Writ
         if inserted:
             sink.append(new)
         return WriteStats(source_count=total, count_before=before, count_after=before + inserted, processed=inserted, inserted=inserted, updated=0, skipped=total - inserted, success=inserted)
-    found = _counts(compare(df, target, keys, UNCOMPARED).rows)
-    new, changed, same = (found.get(k, 0) for k in ("new", "changed", "unchanged"))
-    after = before
-    failed = 0
-    if new or changed:
-        changes = compare(df, target, keys, UNCOMPARED).of("new", "changed")
-        if sink.failed is not None:
-            sink.failed = None
-        sink.apply(changes, merged(changes, target, keys), keys)
-        failed = _failures(sink)
-        after = sink.count() if failed else before + new
-    if failed:  # which of the refused rows were new is for the keys to say
-        lost = compare(sink.failed.drop("_error"), target, keys).rows.where("__change = 'new'").count()
-        inserted, updated = new - lost, changed - (failed - lost)
+    if isinstance(sink, ParquetSink):
+        found = sink.merge(merged_changes(df, target, keys))
+        failed = lost = 0
     else:
-        inserted, updated = new, changed
+        compared = compare(df, target, keys)
+        found = _counts(compared.rows)
+        failed = lost = 0
+        if found.get("new") or found.get("changed"):
+            changes = compared.of("new", "changed")
+            sink.apply(changes, merged(changes, target, keys), keys)
+            if failed := _failures(sink):  # which of the refused rows were new is for the keys to say
+                lost = compare(sink.failed.drop("_error"), target, keys).rows.where("__change = 'new'").count()
+    new, changed, same = (found.get(k, 0) for k in ("new", "changed", "unchanged"))
     return WriteStats(
-        source_count=new + changed + same, count_before=before, count_after=after, processed=new + changed, inserted=inserted, updated=updated, skipped=same,
-        new_rows=new, existing_rows=changed + same, changed_rows=changed, success=new + changed - failed, failed=failed,
+        source_count=new + changed + same, count_before=before, count_after=sink.count() if failed else before + new, processed=new + changed,
+        inserted=new - lost, updated=changed - (failed - lost), skipped=same, new_rows=new, existing_rows=changed + same, changed_rows=changed,
+        success=new + changed - failed, failed=failed,
     )
 
 

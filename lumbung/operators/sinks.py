@@ -77,13 +77,15 @@ class ParquetSink:
         writer = df.write.mode(mode)
         (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(path)
 
-    def replace(self, df: DataFrame) -> int:
-        """Rows written. ``df`` may read the table that it replaces."""
+    def _staged(self, df: DataFrame, publish: Callable[[], bool] = lambda: True) -> None:
+        """Write ``df`` beside the table, then put it in the table's place if ``publish()``."""
         self.recover()
         staging = f"{self.path}.staging-{uuid.uuid4().hex}"
-        df, seen = counted(df)
         try:
             self._write(df, staging, "errorifexists")
+            if not publish():
+                delete_path(self.spark, staging)
+                return
             if self._exists(self.path):
                 self._rename(self.path, f"{self.path}.old")
             self._rename(staging, self.path)
@@ -92,11 +94,23 @@ class ParquetSink:
             self.recover()
             raise
         delete_path(self.spark, f"{self.path}.old")
+
+    def replace(self, df: DataFrame) -> int:
+        """Rows written. ``df`` may read the table that it replaces."""
+        df, seen = counted(df)
+        self._staged(df)
         return seen.get["n"]
 
-    def apply(self, changes: DataFrame, whole: DataFrame, keys: Sequence[str]) -> int:
-        """Bring the table to ``whole``, its merged state. Rows of the new table."""
-        return self.replace(whole)
+    def merge(self, rows: DataFrame) -> dict[str, int]:
+        """Replace the table by ``merge.merged_changes`` of it, unless nothing changed; rows by change.
+
+        One plan finds the changes, counts them and writes the new state.
+        """
+        kinds = ("new", "changed", "unchanged", "kept")
+        seen = Observation()
+        observed = rows.observe(seen, *(F.count_if(F.col("__change") == k).alias(k) for k in kinds)).drop("__change")
+        self._staged(observed, lambda: seen.get["new"] + seen.get["changed"] > 0)
+        return {k: seen.get[k] for k in kinds}
 
     def append(self, df: DataFrame, keys: Sequence[str] | None = None) -> int:
         """Rows added. Spark's committer publishes the files of a job only when all tasks succeeded."""

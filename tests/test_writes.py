@@ -69,6 +69,24 @@ def test_extra_columns_and_empty_sides(spark):
     assert merge.compare(s, t.where("false"), ["id"]).of("new").columns == s.columns
 
 
+def test_merged_changes(spark):
+    s = spark.createDataFrame([("n", 1, 9), ("b", 2, 9), ("d", 4, 9), ("e", None, 9)], "v string, id int, updated_at int")
+    t = spark.createDataFrame([(1, "a", 1, 5), (2, "b", 1, 6), (3, "c", 1, 7), (None, "e", 1, 8)], "id int, v string, updated_at int, kept int")
+    assert rows(merge.merged_changes(s, t, ["id"])) == sorted(
+        [(1, "n", 9, 5, "changed"), (2, "b", 1, 6, "unchanged"), (3, "c", 1, 7, "kept"), (4, "d", 9, None, "new"), (None, "e", 9, None, "new"), (None, "e", 1, 8, "kept")], key=repr
+    )
+    assert merge.merged_changes(s, t, ["id"], null_safe_keys=True).where("id IS NULL").first()["__change"] == "unchanged"
+
+
+def test_nothing_is_published_if_nothing_changed(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1)], "id int, v string, updated_at int")
+    sink = ParquetSink(spark, f"{tmp_path}/t")
+    sink.replace(df)
+    files = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert run_method(df.withColumn("updated_at", F.lit(2)), sink, "upsert", ["id"]).skipped == 1
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == files and len(list(tmp_path.iterdir())) == 1
+
+
 def test_properties_of_upserts(spark, tmp_path):
     r = random.Random(3)
     for k in range(3):
