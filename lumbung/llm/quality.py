@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -26,8 +26,8 @@ ENTRY_WORDS, BULLET_WORDS, PART_WORDS = 4, 12, 4
 #: Share of words that no language spells like this, and of common words that inline lists stay under,
 #: with commas and with semicolons.
 UNSPOKEN, COMMA_COMMON, SEMICOLON_COMMON = 0.25, 0.12, 0.34
-#: Lengths of n-grams; longer ones are looked for where a shorter one covers this share of the text.
-NGRAMS, SOUGHT = (2, 3, 4), 0.05
+#: Lengths of n-grams.
+NGRAMS = (2, 3, 4)
 
 _LINES = re.compile(r"\r\n|\r|\n")
 _PARAGRAPHS = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")
@@ -165,24 +165,43 @@ def _unwrap(text: str) -> list[tuple[str, str | None]]:
 def ngram_cover(words: list[str]) -> tuple[float, ...]:
     """For each length in ``NGRAMS``, the share of the characters of all words that the most frequent n-gram covers.
 
-    An n-gram that occurs less than three times, or covers less than ``SOUGHT``, ends the search: it
-    can't occur more often than the shorter ones in it, so no longer one can cover much more. What
-    isn't sought is 0.
+    The first of equally frequent n-grams counts; one that occurs less than three times counts as 0.
+    An n-gram can't occur more often than the shorter ones in it, so longer ones are counted only
+    where those occur three times; this leaves none out.
     """
     out = [0.0] * len(NGRAMS)
     total = sum(map(len, words))
+    starts: Iterable[int] = range(len(words))
     for k, n in enumerate(NGRAMS):
-        if len(words) < n + 2:
-            break
-        gram, times = Counter(zip(*(words[i:] for i in range(n)))).most_common(1)[0]
-        if times < 3:
-            break
-        out[k] = min(1.0, times * sum(map(len, gram)) / total)
-        if out[k] < SOUGHT:
+        starts, grams = _frequent(words, n, starts, n - (NGRAMS[k - 1] if k else 1), 3)
+        if not grams:
             break
+        gram = max(grams, key=grams.__getitem__)
+        out[k] = min(1.0, grams[gram] * sum(map(len, gram)) / total)
     return tuple(out)
 
 
+def _frequent(words: list[str], n: int, starts: Iterable[int], more: int, least: float) -> tuple[list[int], Counter[tuple[str, ...]]]:
+    """Where n-grams that occur ``least`` times begin, in order, and their counts.
+
+    ``starts`` are the places where n-grams shorter by ``more`` words occur as often.
+    """
+    if len(words) < n:
+        return [], Counter()
+    if isinstance(starts, range):
+        counts = Counter(zip(*(words[i:] for i in range(n))))
+        if max(counts.values()) < least:
+            return [], Counter()
+        found = [i for i, gram in enumerate(zip(*(words[i:] for i in range(n)))) if counts[gram] >= least]
+    else:
+        known = set(starts)
+        tried = [i for i in starts if all(i + j in known for j in range(1, more + 1))]
+        grams = [tuple(words[i : i + n]) for i in tried]
+        counts = Counter(grams)
+        found = [i for i, gram in zip(tried, grams) if counts[gram] >= least]
+    return found, Counter({gram: times for gram, times in counts.items() if times >= least})
+
+
 def _duplicate_share(parts: list[str]) -> float:
     """Share of the characters in parts that are copies of an earlier one."""
     total = sum(map(len, parts))

@@ -263,6 +263,23 @@ def test_statistics_by_hand():
     assert quality.ngram_cover(("a bb " * 6).split())[0] == 1.0 and quality.ngram_cover([]) == (0.0, 0.0, 0.0)
 
 
+def plain_cover(words, n):
+    grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+    gram, times = max(((g, grams.count(g)) for g in dict.fromkeys(grams)), key=lambda x: x[1], default=((), 0))
+    return min(1.0, times * sum(map(len, gram)) / sum(map(len, words))) if times >= 3 else 0.0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_dominant_ngrams_of_every_length(seed):
+    r = random.Random(seed)
+    phrase = "stok di gudang utama".split()
+    thin = [w for i in range(6) for w in [*phrase, *(f"word{seed}x{i}x{j}" for j in range(90 + r.randint(0, 9)))]]
+    for words in (thin, [r.choice("abcd") * r.randint(1, 3) for _ in range(300)], [r.choice("ab") for _ in range(r.randint(0, 9))], phrase * 3):
+        assert quality.ngram_cover(words) == tuple(plain_cover(words, n) for n in (2, 3, 4))
+    two, three, four = quality.ngram_cover(thin)
+    assert 0 < two < 0.05 and two < three < four
+
+
 def test_quality_frame(spark):
     df = spark.createDataFrame([(1, PROSE), (2, None), (3, "x " * 60_000), (3, "x " * 60_000)], "doc_id long, text string").selectExpr("*", "'k' AS kind", "1 AS n_words")
     words = spark.createDataFrame([("en", w) for w in [*COMMON, None, "The"]], "lang string, word string")
