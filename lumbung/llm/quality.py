@@ -2,8 +2,8 @@
 
 A document's lines are told apart first: prose, list entries, rows of a table, or junk, by combined
 rules on their own features (separators, share of digits and symbols, length, common words, sentence
-ends) and on what repeats in the document: duplicate lines and paragraphs, and the share of
-characters that the most frequent word n-gram covers. The document is what more than half of its
+ends) and on what repeats in the document: duplicate lines and paragraphs, the share of characters
+that the most frequent word n-gram covers, and the share inside n-grams that recur, wherever lines end. The document is what more than half of its
 visible characters are; if that is no prose, the kind with most characters names it.
 """
 
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,6 +22,13 @@ LIST, TABLE, JUNK, PROSE = "list", "table", "junk", "prose"
 #: A text whose most frequent n-gram covers this share of its characters is endlessly repeated; a
 #: line that occurs so many times is repeated.
 REPEATED_NGRAM, COPIES = 0.5, 4
+#: A text of prose with more than this share of its characters in copies of earlier lines or paragraphs is
+#: repeated: two copies of each are half.
+DUPLICATES = 0.6
+#: Words belong to endlessly repeated text inside an n-gram of a length that occurs ``COPIES`` times, and at
+#: least once in so many words (0: no matter how many). Long prose shares phrases: up to a fifth of it is
+#: found repeated so, and less than ``SOME_REPEATED`` says nothing.
+RECURRING, SOME_REPEATED = ((5, 100), (16, 0)), 0.25
 #: Words in an open line that can be a list entry, in a bulleted entry, and between two separators.
 ENTRY_WORDS, BULLET_WORDS, PART_WORDS = 4, 12, 4
 #: Share of words that no language spells like this, and of common words that inline lists stay under,
@@ -169,16 +177,24 @@ def ngram_cover(words: list[str]) -> tuple[float, ...]:
     An n-gram can't occur more often than the shorter ones in it, so longer ones are counted only
     where those occur three times; this leaves none out.
     """
+    return _cover_and_recurring(words)[0]
+
+
+def _cover_and_recurring(words: list[str]) -> tuple[tuple[float, ...], float]:
+    """``ngram_cover``, and the share of the characters in shortest ``RECURRING`` n-grams that occur ``COPIES`` times."""
     out = [0.0] * len(NGRAMS)
     total = sum(map(len, words))
     starts: Iterable[int] = range(len(words))
     for k, n in enumerate(NGRAMS):
         starts, grams = _frequent(words, n, starts, n - (NGRAMS[k - 1] if k else 1), 3)
         if not grams:
-            break
+            return tuple(out), 0.0
         gram = max(grams, key=grams.__getitem__)
         out[k] = min(1.0, grams[gram] * sum(map(len, gram)) / total)
-    return tuple(out)
+    n = RECURRING[0][0]
+    starts, _ = _frequent(words, n, starts, n - NGRAMS[-1], COPIES)
+    recurring = {j for i in starts for j in range(i, i + n)}
+    return tuple(out), sum(len(words[j]) for j in recurring) / total
 
 
 def _frequent(words: list[str], n: int, starts: Iterable[int], more: int, least: float) -> tuple[list[int], Counter[tuple[str, ...]]]:
@@ -202,14 +218,38 @@ def _frequent(words: list[str], n: int, starts: Iterable[int], more: int, least:
     return found, Counter({gram: times for gram, times in counts.items() if times >= least})
 
 
+def repeated_share(words: list[str]) -> float:
+    """Share of the characters of all words that lie in endlessly repeated text, wherever lines end (``RECURRING``)."""
+    size = len(words)
+    if size < RECURRING[0][0] + COPIES - 1:
+        return 0.0
+    grams = {1: pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)}
+    repeated = np.zeros(size + 1, np.int64)
+    for n, half in ((2, 1), (4, 2), (5, 4), (8, 4), (16, 8)):
+        if size < n:
+            break
+        last = grams[n - half][half:]
+        grams[n] = pd.factorize(grams[half][: len(last)] * size + last)[0].astype(np.int64)
+        for length, one_in in RECURRING:
+            if n == length:
+                starts = np.flatnonzero(np.bincount(grams[n])[grams[n]] >= max(COPIES, size / one_in if one_in else 0))
+                repeated[starts] += 1
+                repeated[starts + n] -= 1
+    lengths = np.fromiter(map(len, words), np.int64, size)
+    return float(lengths[np.cumsum(repeated[:-1]) > 0].sum() / lengths.sum())
+
+
 def _duplicate_share(parts: list[str]) -> float:
     """Share of the characters in parts that are copies of an earlier one."""
     total = sum(map(len, parts))
     return (total - sum(map(len, set(parts)))) / total if total else 0.0
 
 
-def composition(text: str, common: frozenset[str]) -> dict[str, int]:
-    """Visible characters of a text by kind."""
+def composition(text: str, common: frozenset[str], recurs: bool = True) -> dict[str, int]:
+    """Visible characters of a text by kind.
+
+    Prose and open entries that are endlessly repeated are junk; they are looked for if the text ``recurs``.
+    """
     lines: list[tuple[str, str]] = []
     block: list[str] = []
     copies: Counter[str] = Counter()
@@ -243,10 +283,20 @@ def composition(text: str, common: frozenset[str]) -> dict[str, int]:
         if lines[i][1] == _HEADING:
             lines[i] = (lines[i][0], follows or (lines[i - 1][1] if i and lines[i - 1][1] != _HEADING else LIST))
         follows = lines[i][1]
+    open_lines: dict[str, list[str]] = {PROSE: [], LIST: []}
     for x, kind in lines:
-        if copies[x] >= COPIES and len(x) > 3 and kind in (PROSE, LIST) and not _BULLET.match(x):
-            kind = JUNK
+        if kind in (PROSE, LIST) and not _BULLET.match(x):
+            if copies[x] >= COPIES and len(x) > 3:
+                kind = JUNK
+            else:
+                open_lines[kind].append(x)
         out[kind] += len(x) - x.count(" ") - x.count("\t")
+    for kind, own in open_lines.items() if recurs else ():
+        share = repeated_share(_WORDS.findall("\n".join(own).lower()))
+        if share > SOME_REPEATED:
+            moved = round(share * sum(len(x) - x.count(" ") - x.count("\t") for x in own))
+            out[kind] -= moved
+            out[JUNK] += moved
     return out
 
 
@@ -267,11 +317,12 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple:
     symbols = (visible - _alnum(text)) / visible if visible else 0.0
     punctuated = sum(x.endswith(_PUNCTUATION) for x in lines) / len(lines) if lines else 0.0
     common_share = sum(map(common.__contains__, words)) / n if n else 0.0
-    grams = ngram_cover(words)
-    parts = composition(text, common)
+    grams, recurring = _cover_and_recurring(words)
+    # a quarter of the half that decides is an eighth of the text; tags between words can hide what recurs
+    parts = composition(text, common, recurring > 0.1 or "<" in text)
     total = sum(parts.values())
-    repeated = max(grams) > REPEATED_NGRAM and n >= 10
     duplicate_lines, duplicate_paragraphs = _duplicate_share(lines), _duplicate_share([p for p in (p.strip() for p in _PARAGRAPHS.split(text)) if p])
+    repeated = n >= 10 and (max(grams) > REPEATED_NGRAM or max(duplicate_lines, duplicate_paragraphs) > DUPLICATES and parts[PROSE] * 2 >= total)
     if not total or repeated and parts[TABLE] * 2 < total:
         kind = JUNK
     elif 2 * parts[PROSE] >= total:

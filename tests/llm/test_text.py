@@ -1,6 +1,7 @@
 """The text operators against plain versions and hand-made cases."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -263,6 +264,36 @@ def test_statistics_by_hand():
     assert quality.ngram_cover(("a bb " * 6).split())[0] == 1.0 and quality.ngram_cover([]) == (0.0, 0.0, 0.0)
 
 
+def test_endless_repetition_is_junk_however_lines_end():
+    sentence = "The nurse of the northern clinic counted every sealed vial twice before noon yesterday. "
+    long = sentence.strip(". ") + " and the driver of the second van wrote down where each of the boxes was to be left for the night. "
+    endless = [sentence * 200, sentence * 4, long * 60, PROSE.upper() * 50, *(textwrap.fill(x * 60, width) for x in (sentence, long) for width in (20, 33, 47, 80))]
+    endless += ["".join(f"{sentence}{i}. " for i in range(80)), "\n\n".join([PROSE.replace("to the", "\nto the").strip() + f"\n{sentence}"] * 3)]
+    for text in endless:
+        assert quality.statistics(text, COMMON)[-1] == "junk", text[:80]
+    r = random.Random(0)
+    other = ["".join(chr(97 + r.randrange(26)) for _ in range(r.randint(2, 9))) for _ in range(400)]
+    prose = " ".join(f"the {a} and the {b} of the {c} in {d}." for a, b, c, d in (r.sample(other, 4) for _ in range(120)))
+    assert quality.statistics(prose, COMMON)[-1] == quality.statistics(prose + sentence * 8, COMMON)[-1] == "prose"
+    assert quality.statistics(prose + sentence * 80, COMMON)[-1] == "junk"
+    table = "\n".join(f"Arlu,A{i},5,6" for i in range(60))
+    assert quality.statistics(table + "\n\n" + sentence * 4, COMMON)[-1] == "table"
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_repeated_share_against_plain_count(seed):
+    r = random.Random(seed)
+    unit = [r.choice("abcde") * r.randint(1, 4) for _ in range(r.randint(6, 30))]
+    words = [w for _ in range(r.randint(2, 40)) for w in r.choice([unit, unit[:7], [f"w{r.randint(0, 99)}" for _ in range(r.randint(0, 40))]])]
+    held = set()
+    for n, one_in in quality.RECURRING:
+        grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        for i, g in enumerate(grams):
+            if grams.count(g) >= max(quality.COPIES, len(words) / one_in if one_in else 0):
+                held.update(range(i, i + n))
+    assert quality.repeated_share(words) == pytest.approx(sum(len(words[i]) for i in held) / max(1, sum(map(len, words))))
+
+
 def plain_cover(words, n):
     grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
     gram, times = max(((g, grams.count(g)) for g in dict.fromkeys(grams)), key=lambda x: x[1], default=((), 0))
