@@ -47,10 +47,26 @@ class Profiled:
     texts: tuple[str, ...]
     valid: Mapping[str, Column] = field(default_factory=dict)
 
+    @classmethod
+    def every_column(cls, table: str, rows: DataFrame, key: str, load: str, valid: Mapping[str, Column] | None = None) -> Profiled:
+        """All columns but the key and the load: numbers, dates and times as numbers, ids (``_id``) and the rest as texts."""
+        fields = [f for f in rows.schema.fields if f.name not in (key, load)]
+        numbers = tuple(f.name for f in fields if isinstance(f.dataType, (NumericType, DateType, TimestampType, TimestampNTZType)) and not f.name.endswith("_id"))
+        return cls(table, rows, key, load, numbers, tuple(f.name for f in fields if f.name not in numbers), valid or {})
+
+    def number(self, c: str) -> Column:
+        """The value of one of ``numbers``: days since 1970 of a date, seconds of a time."""
+        kind, v = self.rows.schema[c].dataType, F.col(f"`{c}`")
+        if isinstance(kind, DateType):
+            v = F.unix_date(v)
+        elif isinstance(kind, (TimestampType, TimestampNTZType)):
+            v = F.unix_seconds(v.cast("timestamp"))
+        return v.cast("double")
+
     def is_valid(self, c: str) -> Column:
         rule = self.valid.get(c)
         if rule is None:
-            rule = fn.is_finite(F.col(f"`{c}`").cast("double")) if c in self.numbers else F.col(f"`{c}`").isNotNull()
+            rule = fn.is_finite(self.number(c)) if c in self.numbers else F.col(f"`{c}`").isNotNull()
         return F.coalesce(rule, F.lit(False))
 
 
@@ -168,7 +184,7 @@ class _Coded:
 def _code(p: Profiled, c: str, edges: Sequence[float]) -> Column:
     v = F.col(f"`{c}`")
     if c in p.numbers:
-        x = v.cast("double")
+        x = p.number(c)
         value = F.lit(2) + sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0))
     else:
         value = F.lit(2) + F.pmod(F.xxhash64(v), F.lit(CLASSES)).cast("int")
@@ -186,7 +202,7 @@ def _coded(tables: Sequence[Profiled]) -> tuple[list[_Coded], DataFrame]:
     for p in tables:
         columns = (*p.numbers, *p.texts)
         marks = [i / RANGES for i in range(1, RANGES)]
-        found = p.rows.agg(F.collect_set(f"`{p.load}`").alias("loads"), *(F.percentile_approx(F.when(p.is_valid(c), F.col(f"`{c}`").cast("double")), marks, 1000).alias(c) for c in p.numbers)).first()
+        found = p.rows.agg(F.collect_set(f"`{p.load}`").alias("loads"), *(F.percentile_approx(F.when(p.is_valid(c), p.number(c)), marks, 1000).alias(c) for c in p.numbers)).first()
         loads = tuple(sorted(found["loads"]))
         edges = {c: sorted(set(found[c] or [])) for c in p.numbers}
         at = _Coded(p, columns, tuple(RANGES + 2 if c in p.numbers else CLASSES + 2 for c in columns), code, loads, group)

@@ -141,23 +141,12 @@ P3_REPORT_SQL = f"WITH {_ORPHANS_SQL} SELECT in_table, in_field, ref_month, kind
 
 
 def _profiled(spark: SparkSession, d: str) -> list[profile.Profiled]:
+    of = profile.Profiled.every_column
     return [
-        profile.Profiled(
-            "fact_stock_snapshot", _stock(spark, d), "stock_id", "load_no",
-            ("stock_quantity", "allocated", "in_transit", "open_vial", "price", "budget_source"), ("province_id",),
-            {"stock_quantity": profile.in_range("stock_quantity", 0, 1_000_000)},
-        ),
-        profile.Profiled(
-            "dim_entity", read_table(spark, d, "dim_entity"), "entity_id", "load_no",
-            ("type_code", "status"), ("province_id", "regency_id", "entity_type"),
-            {"province_id": profile.matches("province_id", "[0-9]{2}")},
-        ),
-        profile.Profiled(
-            "dim_material", read_table(spark, d, "dim_material"), "material_id", "load_no",
-            ("pieces_per_unit", "temperature_min", "temperature_max", "status"), ("category", "unit", "unit_of_distribution"),
-            {"pieces_per_unit": profile.whole_number("pieces_per_unit", 1, 10_000)},
-        ),
-    ]
+        of("fact_stock_snapshot", _stock(spark, d), "stock_id", "load_no", {"stock_quantity": profile.in_range("stock_quantity", 0, 1_000_000)}),
+        of("dim_entity", read_table(spark, d, "dim_entity"), "entity_id", "load_no", {"province_id": profile.matches("province_id", "[0-9]{2}")}),
+        of("dim_material", read_table(spark, d, "dim_material"), "material_id", "load_no", {"pieces_per_unit": profile.whole_number("pieces_per_unit", 1, 10_000)}),
+    ]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -219,6 +219,20 @@ def test_shifted_loads(spark):
     assert 0.45 < d["n", 2]["auc"] < 0.55 and d["t", 4]["auc_alone"] > 0.7
 
 
+def test_every_column_is_told_apart(spark, sf):
+    from lumbung.plans.catalog_general import p4_discrimination
+
+    got = {(x["in_table"], x["in_field"]) for x in p4_discrimination(spark, sf).select("in_table", "in_field").distinct().collect()}
+    tables = {"fact_stock_snapshot": "stock_id", "dim_entity": "entity_id", "dim_material": "material_id"}
+    want = {(t, c) for t, key in tables.items() for c in spark.read.parquet(f"{sf}/{t}.parquet").columns if c not in (key, "load_no")}
+    assert got == want and len(want) > 40
+    rows_ = [(i, 1 + i // 1000, date(2024, 1, 1) + timedelta(i % 50 + 40 * (i >= 1000)), datetime(2024, 1, 1) + timedelta(hours=i % 90), i % 7 if i < 1000 else 90 + i % 7) for i in range(2000)]
+    p = profile.Profiled.every_column("tab", spark.createDataFrame(rows_, "k int, load_no int, day date, at timestamp_ntz, ref_id int"), "k", "load_no")
+    assert p.numbers == ("day", "at") and p.texts == ("ref_id",)
+    d = {x["in_field"]: x["auc_alone"] for x in profile.load_discrimination([p]).collect()}
+    assert d["day"] > 0.9 and d["ref_id"] > 0.7 and d["at"] < 0.6
+
+
 def test_profile_of_few_rows_or_loads(spark):
     assert profile.load_discrimination([profiled(spark, [(1, 1, 5.0, "12")])]).count() == 0
     empty = profiled(spark, [])
