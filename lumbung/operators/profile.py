@@ -375,16 +375,18 @@ def load_discrimination(tables: Sequence[Profiled], steps: int = STEPS, toleranc
 
 
 def shifted_loads(tables: Sequence[Profiled], null_shift: float = 0.10, factor: float = 2.0, top_shift: float = 0.20) -> DataFrame:
-    """``in_table, in_field, load_no`` of loads that the classifier suspects and the exact aggregates confirm.
+    """``in_table, in_field, load_no`` of loads that the exact aggregates show to differ from the next lower one of the table.
 
-    Confirmed is a share of nulls that differs by more than ``null_shift``, a median of at least
+    That is a share of nulls that differs by more than ``null_shift``, a median of at least
     ``factor`` times or at most its inverse (and not equal), or a share of the most frequent value
-    that differs by more than ``top_shift``, each against the next lower load of the table.
+    that differs by more than ``top_shift``. No suspicion of the classifier is asked for: its codes
+    can't show every such shift. Rows without a load number count for nothing.
     """
-    stats = reduce(DataFrame.unionByName, map(load_statistics, tables))
-    suspects = load_discrimination(tables).where("suspected").select("in_table", "in_field", "load_no", "previous_load")
-    old = stats.select("in_table", "in_field", F.col("load_no").alias("previous_load"), *(F.col(c).alias(f"old_{c}") for c in ("n_rows", "n_null", "median", "top_count")))
-    both = suspects.join(stats, ["in_table", "in_field", "load_no"]).join(old, ["in_table", "in_field", "previous_load"])
+    from pyspark.sql import Window
+
+    stats = reduce(DataFrame.unionByName, map(load_statistics, tables)).where(F.col("load_no").isNotNull())
+    before = Window.partitionBy("in_table", "in_field").orderBy("load_no")
+    both = stats.withColumns({f"old_{c}": F.lag(c).over(before) for c in ("n_rows", "n_null", "median", "top_count")}).where(F.col("old_n_rows").isNotNull())
     share = lambda c, o="": F.coalesce(F.col(f"{o}{c}"), F.lit(0)) / F.col(f"{o}n_rows")
     nulls = F.abs(share("n_null") - share("n_null", "old_")) > null_shift
     top = (F.col("top_count").isNotNull() | F.col("old_top_count").isNotNull()) & (F.abs(share("top_count") - share("top_count", "old_")) > top_shift)

@@ -219,6 +219,24 @@ def test_shifted_loads(spark):
     assert 0.45 < d["n", 2]["auc"] < 0.55 and d["t", 4]["auc_alone"] > 0.7
 
 
+def test_shifts_that_codes_cannot_show_in_large_loads(spark):
+    n = 60_000
+    same: dict[int, list[str]] = {}
+    for x in spark.range(10, 100).selectExpr("string(id) AS v", "pmod(xxhash64(string(id)), 16) AS c").collect():
+        same.setdefault(x["c"], []).append(x["v"])
+    one, other = max(same.values(), key=len)[:2]
+    i, load = F.col("id") % n, F.floor(F.col("id") / n + 1).cast("int")
+    # in load 2 half of the most frequent value's rows take another value of its class, and the median crosses a gap
+    t = F.when(i % 10 >= 6, "99x").when((load == 2) & (i % 2 == 0), other).otherwise(one)
+    v = F.when(i < F.when(load == 2, n // 2 - 20).otherwise(n // 2 + 20), 10.0).otherwise(30.0)
+    df = spark.range(2 * n).select(F.col("id").cast("int").alias("k"), load.alias("load_no"), v.alias("n"), t.alias("t"))
+    p = profile.Profiled("tab", df, "k", "load_no", ("n",), ("t",), {"n": profile.whole_number("n", 1, 100), "t": profile.matches("t", "[0-9]{2}")})
+    assert rows(profile.shifted_loads([p])) == [("tab", "n", 2)]
+    p = profile.Profiled("tab", df.where("t <> '99x'"), *("k", "load_no", ("n",), ("t",)), p.valid)
+    assert ("tab", "t", 2) in rows(profile.shifted_loads([p]))
+    assert not [x["in_field"] for x in profile.load_discrimination([p]).collect() if x["in_field"] == "t" and x["suspected"]]
+
+
 def test_every_column_is_told_apart(spark, sf):
     from lumbung.plans.catalog_general import p4_discrimination
 
