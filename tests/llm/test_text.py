@@ -123,11 +123,24 @@ def test_alignment_against_plain_version():
         window = np.concatenate([r.integers(97, 101, 10), np.delete(item, r.integers(0, len(item), 2)), r.integers(97, 101, r.integers(0, 20))]).astype(np.uint8)
         windows.append(window), items.append(item), weights.append(r.choice([0, 1, 3], len(item)).astype(np.int16))
     scores, hits = leakage.align(windows, items, weights)
+    again, path = leakage.align(windows, items, weights, cells=1)  # rows between checkpoints computed twice
+    assert (again == scores).all() and all((a == b).all() for x, y in zip(hits, path) for a, b in zip(x, y))
     for w, q, g, s, (i, j) in zip(windows, items, weights, scores, hits):
         assert s == plain_score(w, q, g)
         assert (w[i] == q[j]).all() and (np.diff(i[::-1]) > 0).all() and (np.diff(j[::-1]) > 0).all() and g[j].sum() >= s
 
 
+@pytest.mark.parametrize("size", [4000, 5000, 9000])
+def test_long_items_align_in_full(size):
+    r = random.Random(size)
+    item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+    text = "".join(c if r.random() > 0.02 else r.choice("0123456789") for c in item)
+    changed = sum(a != b for a, b in zip(item, text))
+    window, data = (np.frombuffer(x.encode(), np.uint8) for x in (text, item))
+    (score,), ((i, j),) = leakage.align([window], [data], [np.full(size, leakage.OWN, np.int16)])
+    assert score >= 3 * (size - changed) - 4 * changed - 30 and len(j) >= size - changed - 40
+
+
 def test_grams_do_not_depend_on_the_place():
     a, b = (np.frombuffer(x, np.uint8) for x in (b"xxabcdefghijklmyy", b"abcdefghijklm"))
     assert set(leakage.gram_hashes(b)) <= set(leakage.gram_hashes(a)) and len(set(leakage.gram_hashes(a))) == 6
@@ -136,6 +149,8 @@ def test_grams_do_not_depend_on_the_place():
 
 def test_streams():
     assert leakage.stream("<b>Kül-\nkas</b> 13,5°") == b"kulkas135" and leakage.stream(None) == b"" and leakage.stream("сосо") == b"coco"
+    assert leakage.stream("库存 管理。قلب! Привет, Straße <5 и 6>") == "库存管理قلبпpиbetstraße5и6".encode() and leakage.word_spans("库存 a1") == [(0, 3), (3, 6), (6, 8)]
+    assert leakage.stream("<td style='" + "x" * 900 + "'>a</td>") == b"a" and leakage.stream("2 < 3 and 5 > 4") == b"23and54"
     spans = leakage.word_spans("The <i>card</i> for 1,025 -- x")
     assert [leakage.stream("The card for 1,025 x")[a:b] for a, b in spans] == [b"the", b"card", b"for", b"1025", b"x"]
 
@@ -188,16 +203,50 @@ def test_shares_of_held_words(leaks):
     assert leaks[3, 5]["share"] > 0.9  # words changed inside a piece count as held
 
 
-def test_blocks_give_the_same(spark, leaks, monkeypatch):
+def test_items_as_a_table_give_the_same(spark, monkeypatch):
     r = random.Random(4)
-    items = spark.createDataFrame([(i, (INSTRUCTION if i % 2 else "") + question(r)) for i in range(40)], "item_id int, question string")
-    docs = spark.createDataFrame([(i, q) for i, q in enumerate(x["question"] for x in items.collect())], "doc_id int, text string")
+    items = spark.createDataFrame([(i, (INSTRUCTION if i % 2 else "") + question(r)) for i in range(40)] + [(50, "Why not?"), (51, "Which vaccine needs -70?")], "item_id int, question string")
+    texts = [x["question"] for x in items.collect()]
+    docs = spark.createDataFrame([(i, q) for i, q in enumerate(texts)] + [(3, texts[9] + " " + texts[11]), (3, texts[3]), (60, " ".join(t[40:200] for t in texts)), (None, "x"), (61, None), (62, "He asks, why not?")], "doc_id int, text string")
     one = rows(leakage.leaked_items(docs, items))
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 3000)
-    assert rows(leakage.leaked_items(docs, items)) == one and len(one) >= 40
+    monkeypatch.setattr(leakage, "INDEX_CHARS", 0)
+    assert rows(leakage.leaked_items(docs, items)) == one and len(one) >= 40 and {x[0] for x in one if x[1] == 50} == {40, 62}
     assert leakage.leaked_items(docs.where("false"), items).count() == 0 and leakage.leaked_items(docs, items.where("false")).count() == 0
 
 
+def found(spark, docs, items):
+    a = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id int, question string")
+    return {(x["doc_id"], x["item_id"]) for x in leakage.leaked_items(a, b).collect() if x["share"] >= leakage.LEAK}
+
+
+def test_short_equal_and_foreign_items(spark):
+    chinese = "冷链设备每天需要检查两次温度并且记录在登记册上,如果温度超过八度应该怎么办?"
+    russian = "Сколько доз вакцины должен заказать склад на следующие семь месяцев, если остаток равен нулю?"
+    arabic = "كم جرعة من اللقاح يجب أن يطلبها المخزن للأشهر السبعة القادمة إذا كان الرصيد صفرا؟"
+    items = ["Which vaccine needs -70?", "Why not?", chinese, russian, arabic, "How many vials of Torvix fit into box seven?", "How many vials of Torvix, fit into box seven?"]
+    docs = ["At noon they asked which vaccine needs -70? Nobody knew.", "So why not? he said", "whynots", chinese + "好", "Вопрос: " + russian, arabic, "x how many vials of torvix fit into box seven y", "the vaccine needs care"]
+    assert found(spark, docs, items) == {(0, 0), (1, 1), (3, 2), (4, 3), (5, 4), (6, 5), (6, 6)}
+
+
+def test_seeds_lose_little_against_full_alignment():
+    """Every text against every item by alignment of the whole text, beside what seeds find."""
+    r = random.Random(9)
+    asked = [(i, question(r)) for i in range(20)]
+    texts = []
+    for _, q in asked:
+        words = q.split()
+        texts.append(" ".join(w if r.random() > 0.1 else r.choice(NAMES) for w in words[: r.randint(8, len(words))]) + " the nurse moved stock")
+    times = {}
+    for _, q in asked:
+        for g in np.unique(leakage.gram_hashes(np.frombuffer(leakage.stream(q), np.uint8))).tolist():
+            times[g] = times.get(g, 0) + 1
+    prepared = [(i, q, {g: n for g, n in times.items() if n > 1}) for i, q in asked]
+    true = {(n, k) for n, k, share in leakage.exhaustive_shares(texts, prepared) if share >= leakage.LEAK}
+    seeded = {(n, k) for n, k, _, held, words, _ in leakage.leaks_in(texts, leakage.build_index(prepared)) if held >= leakage.LEAK * words}
+    assert len(true) >= 12 and len(true & seeded) >= 0.9 * len(true) and seeded <= true
+
+
 # --- quality ---------------------------------------------------------------------------------------
 
 COMMON = frozenset("the and of to in for with on at from by is was it yang dan di ke dari untuk dengan pada".split())
