@@ -619,7 +619,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
 def exhaustive_shares(texts: Sequence[str | None], questions: Sequence[tuple[int, str, Mapping[int, int]]]) -> Iterator[tuple[int, int, float]]:
     """(text number, item key, share of words held) of every text against every item, without seeds; for measuring recall.
 
-    The whole text is one window, and local alignments are taken until none scores enough.
+    The whole text is one window, and local alignments are taken until none scores enough. Text that
+    items share makes no piece by itself.
     """
     items = [make_item(*q) for q in questions]
     for n, text in enumerate(texts):
@@ -636,7 +637,7 @@ def exhaustive_shares(texts: Sequence[str | None], questions: Sequence[tuple[int
                 for t, s, (wi, qj) in zip(batch, scores, hits):
                     if s < t.item.least_score or not len(qj):
                         continue
-                    if t.accepts(int(s), t.item.least_score, qj):
+                    if t.accepts(int(s), t.item.least_score, qj) and (t.item.weight[qj] == OWN).sum() >= min(SEED, len(t.item.data)):
                         t.add(int(qj.min()), int(qj.max()), int(wi.min()), int(wi.max()))
                     t.used[wi.min() : wi.max() + 1] = True
                     again.append(t)

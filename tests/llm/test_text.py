@@ -230,21 +230,24 @@ def test_short_equal_and_foreign_items(spark):
 
 
 def test_seeds_lose_little_against_full_alignment():
-    """Every text against every item by alignment of the whole text, beside what seeds find."""
+    """What seeds find, beside what was planted and what aligning whole texts with every item finds."""
     r = random.Random(9)
     asked = [(i, question(r)) for i in range(20)]
-    texts = []
-    for _, q in asked:
+    texts, planted = [], set()
+    for n, q in asked:
         words = q.split()
-        texts.append(" ".join(w if r.random() > 0.1 else r.choice(NAMES) for w in words[: r.randint(8, len(words))]) + " the nurse moved stock")
+        part = words[: r.randint(8, len(words))]
+        texts.append(" ".join(w if r.random() > 0.1 else r.choice(NAMES) for w in part) + " the nurse moved stock")
+        if len(part) >= 0.4 * len(words):
+            planted.add((n, n))
     times = {}
     for _, q in asked:
         for g in np.unique(leakage.gram_hashes(np.frombuffer(leakage.stream(q), np.uint8))).tolist():
             times[g] = times.get(g, 0) + 1
     prepared = [(i, q, {g: n for g, n in times.items() if n > 1}) for i, q in asked]
-    true = {(n, k) for n, k, share in leakage.exhaustive_shares(texts, prepared) if share >= leakage.LEAK}
+    whole = {(n, k) for n, k, share in leakage.exhaustive_shares(texts, prepared) if share >= leakage.LEAK}
     seeded = {(n, k) for n, k, _, held, words, _ in leakage.leaks_in(texts, leakage.build_index(prepared)) if held >= leakage.LEAK * words}
-    assert len(true) >= 12 and len(true & seeded) >= 0.9 * len(true) and seeded <= true
+    assert len(planted) >= 12 and len(planted & seeded) >= 0.9 * len(planted) and seeded <= whole and all(n == k for n, k in seeded)
 
 
 # --- quality ---------------------------------------------------------------------------------------
