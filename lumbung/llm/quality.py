@@ -40,8 +40,9 @@ NGRAMS = (2, 3, 4)
 _LINES = re.compile(r"\r\n|\r|\n")
 _PARAGRAPHS = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")
 _WORDS = re.compile(r"\w+(?:['’.,-]\w+)*")
-_TAGS = re.compile(r"<[^<>]{0,400}>")
-_BLOCK_TAGS = re.compile(r"<\s*(/?)\s*(table|ul|ol|tr|li|br|p)\b[^<>]{0,400}>", re.I)
+#: A tag begins like one: a less-than sign before a number or a space is text.
+_TAGS = re.compile(r"<[a-zA-Z/!?][^<>]*>")
+_BLOCK_TAGS = re.compile(r"<(/?)\s*(table|ul|ol|tr|li|br|p)\b[^<>]*>", re.I)
 _BULLET = re.compile(r"(?:[-*+•·–—‣◦▪]\s|\[[ xX✓]?\]|\(?\d{1,3}[.)]\s|[a-zA-Z][.)]\s|☐|☑)")
 _LOG = re.compile(r"\b\w+=\S|\b0x[0-9a-f]{4,}|\[?\d\d:\d\d:\d\d\]?")
 _HEX = re.compile(r"(?:[0-9a-f]{2}[ :]){8,}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published splitting pattern of byte-level BPE vocabularies.
 BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are counted in parts, cut after white space where there is any.
+#: Longer texts are counted in parts where the vocabulary's pattern has a sure boundary, which leaves the count exact.
 PART_CHARS = 400_000
+#: No token of ``BYTE_BPE_PATTERN`` holds white space after anything else, and none looks back.
+_BOUNDARY = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
 @functools.cache
@@ -41,24 +44,25 @@ def _counter(path: str):
     raise ValueError(f"unknown kind of vocabulary: {path}")
 
 
-def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
-    """``text`` in parts of about ``size`` characters, nothing left out."""
-    while len(text) > size:
-        cut = max(text.rfind(" ", size // 2, size), text.rfind("\n", size // 2, size)) + 1 or size
-        yield text[:cut]
-        text = text[cut:]
-    yield text
+def parts(text: str, size: int) -> Iterator[str]:
+    """``text`` in parts of ``size`` characters and more, cut before white space only; nothing left out."""
+    begin = 0
+    while len(text) - begin > size and (cut := _BOUNDARY.search(text, begin + size)):
+        yield text[begin : cut.start()]
+        begin = cut.start()
+    yield text[begin:]
 
 
 def count_tokens(texts: Sequence[str | None], path: str = VOCABULARY) -> list[int]:
-    """Tokens of each text; null and empty texts have none."""
+    """Tokens of each text; null and empty texts have none.
+
+    Long texts are counted in parts if the vocabulary is of the kind whose pattern is known here; other
+    kinds count them whole.
+    """
     count = _counter(path)
-    short = [t if t and len(t) <= PART_CHARS else "" for t in texts]
-    out = count(short)
-    for i, t in enumerate(texts):
-        if t and len(t) > PART_CHARS:
-            out[i] = sum(count(list(parts(t))))
-    return out
+    if not path.endswith(".tiktoken"):
+        return count([t or "" for t in texts])
+    return [sum(count(list(parts(t, PART_CHARS)))) if t and len(t) > PART_CHARS else count([t or ""])[0] for t in texts]
 
 
 def with_token_counts(df: DataFrame, id_column: str, text_column: str, path: str = VOCABULARY) -> DataFrame:

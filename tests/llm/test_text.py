@@ -32,11 +32,23 @@ def test_two_files_of_one_vocabulary_agree():
 
 
 def test_long_texts_are_counted_in_parts(monkeypatch):
-    text = " ".join(f"word{i}" for i in range(3000))
-    whole = tokens.count_tokens([text])[0]
-    assert "".join(tokens.parts(text, 100)) == text and list(tokens.parts("x" * 250, 100)) == ["x" * 100, "x" * 100, "x" * 50]
-    monkeypatch.setattr(tokens, "PART_CHARS", 500)
-    assert abs(tokens.count_tokens([text])[0] - whole) < 0.02 * whole
+    assert list(tokens.parts("aa  bb\n\ncc dd", 1)) == ["aa", "  bb", "\n\ncc", " dd"] and list(tokens.parts("x" * 250, 100)) == ["x" * 250]
+    r = random.Random(3)
+    pieces = ["word", "it's", "12", "…", " ", "  ", "\n", "\t \n", "é中", "--", "'", "\u00a0", "\u3000", "Stok", "🙂", "\r\n"]
+    for _ in range(60):
+        text = "".join(r.choice(pieces) for _ in range(400))
+        whole = tokens.count_tokens([text])
+        for size in (1, 7, 100):
+            assert "".join(tokens.parts(text, size)) == text
+            monkeypatch.setattr(tokens, "PART_CHARS", size)
+            assert tokens.count_tokens([text]) == whole
+        monkeypatch.undo()
+    for name in KINDS[1:]:
+        text = " ".join(f"word{i}" for i in range(3000))
+        whole = tokens.count_tokens([text], f"/opt/tokenizers/{name}")
+        monkeypatch.setattr(tokens, "PART_CHARS", 50)
+        assert tokens.count_tokens([text], f"/opt/tokenizers/{name}") == whole
+        monkeypatch.undo()
     with pytest.raises(ValueError):
         tokens.count_tokens(["x"], "vocabulary.txt")
 
