@@ -158,16 +158,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of the three tables per load; the distinct counts are estimates, so SQL can't check them."""
+    """Every column of the three tables per load."""
     a, b, c = map(profile.column_profile, _profiled(spark, d))
     return a.unionByName(b).unionByName(c)
 
 
-def p4_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """The exact part of ``p4_profile``."""
-    return p4_profile(spark, d).drop("n_distinct")
-
-
 def p4_load_statistics(spark: SparkSession, d: str) -> DataFrame:
     a, b, c = map(profile.load_statistics, _profiled(spark, d))
     return a.unionByName(b).unionByName(c)
@@ -201,10 +196,10 @@ def _range_sql(table: str, c: str, kind: str) -> str:
     }.get(kind, f"{c}::DOUBLE")
     rule = _VALID.get(c)
     valid = rule[2] if rule and rule[0] == table else f"isfinite({c}::DOUBLE)" if kind == "double" else "true"
-    return f"SELECT '{table}' AS in_table, '{c}' AS in_field, load_no, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_null, COUNT(*) FILTER ({c} IS NOT NULL AND NOT ({valid})) AS n_broken, MIN({size}) AS low, MAX({size}) AS high FROM {table} GROUP BY load_no"
+    return f"SELECT '{table}' AS in_table, '{c}' AS in_field, load_no, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_null, COUNT(*) FILTER ({c} IS NOT NULL AND NOT ({valid})) AS n_broken, COUNT(DISTINCT {c}) AS n_distinct, MIN({size}) AS low, MAX({size}) AS high FROM {table} GROUP BY load_no"
 
 
-P4_RANGES_SQL = "\nUNION ALL ".join(_range_sql(t, f.name, f.dataType.simpleString()) for t in ("fact_stock_snapshot", "dim_entity", "dim_material") for f in MART[t])
+P4_PROFILE_SQL = "\nUNION ALL ".join(_range_sql(t, f.name, f.dataType.simpleString()) for t in ("fact_stock_snapshot", "dim_entity", "dim_material") for f in MART[t])
 
 P4_FOUND_SQL = f"""WITH stats AS ({P4_LOAD_STATISTICS_SQL}),
 pairs AS (SELECT *, n_null / n_rows AS ns, COALESCE(top_count, 0) / n_rows AS ts, LAG(n_null / n_rows) OVER w AS ons, LAG(COALESCE(top_count, 0) / n_rows) OVER w AS ots, LAG(median) OVER w AS om, LAG(load_no) OVER w AS ol
@@ -264,7 +259,7 @@ WHERE n.stock_id IS NULL OR o.stock_id IS NULL OR n.q IS DISTINCT FROM o.q OR n.
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_key_totals, p3_found, p3_report, p4_found, p4_profile, p4_ranges, p4_load_statistics, p4_discrimination, p5_found, p5_versions, p6_found)
+    f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_key_totals, p3_found, p3_report, p4_found, p4_profile, p4_load_statistics, p4_discrimination, p5_found, p5_versions, p6_found)
 }
 SQL: dict[str, str] = {
     "p1_found": P1_FOUND_SQL,
@@ -274,7 +269,7 @@ SQL: dict[str, str] = {
     "p3_found": P3_FOUND_SQL,
     "p3_report": P3_REPORT_SQL,
     "p4_found": P4_FOUND_SQL,
-    "p4_ranges": P4_RANGES_SQL,
+    "p4_profile": P4_PROFILE_SQL,
     "p4_load_statistics": P4_LOAD_STATISTICS_SQL,
     "p5_found": P5_FOUND_SQL,
     "p5_versions": P5_VERSIONS_SQL,
