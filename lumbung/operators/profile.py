@@ -223,21 +223,22 @@ def _octave_bounds(code: int) -> tuple[float, float]:
     return 2.0 ** (low / OCTAVE_PARTS) * (1 - 1e-9), 2.0 ** ((low + 1) / OCTAVE_PARTS) * (1 + 1e-9)
 
 
-def _code(p: Profiled, c: str, edges: Sequence[float], own: Sequence[str]) -> Column:
-    """Null, broken, then ranges of a number (of an octave's quarter where it has a rule), or values of their own and hash classes."""
-    v = F.col(f"`{c}`")
-    if c in p.numbers:
-        x = p.number(c)
-        if c in p.valid:
-            place = F.floor(F.log2(F.when(x > 0, x)) * OCTAVE_PARTS) - LOWEST + 1
-            value = F.when(x == 0, 2).otherwise(F.coalesce(F.greatest(F.lit(0), F.least(F.lit(OCTAVES), place)), F.lit(0)) + 3)
-        else:
-            value = F.lit(2) + sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0))
-        return F.when(v.isNull(), _NULL).when(~p.is_valid(c), _BROKEN).otherwise(value)
+def _octave(x: Column) -> Column:
+    """The code of a number that obeys its rule."""
+    place = F.floor(F.log2(F.when(x > 0, x)) * OCTAVE_PARTS) - LOWEST + 1
+    return F.when(x == 0, 2).otherwise(F.coalesce(F.greatest(F.lit(0), F.least(F.lit(OCTAVES), place)), F.lit(0)) + 3)
+
+
+def _ranged(x: Column, edges: Sequence[float]) -> Column:
+    return F.lit(2) + sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0))
+
+
+def _classed(v: Column, ok: Column, own: Sequence[str]) -> Column:
+    """The code of a text: values of their own, broken or not, come before hash classes."""
     code = F.when(v.isNull(), _NULL)
     for i, top in enumerate(own):
         code = code.when(v == top, 2 + CLASSES + i)
-    return code.when(~p.is_valid(c), _BROKEN).otherwise(F.lit(2) + F.pmod(F.xxhash64(v), F.lit(CLASSES)))
+    return code.when(~ok, _BROKEN).otherwise(F.lit(2) + F.pmod(F.xxhash64(v), F.lit(CLASSES)))
 
 
 def _frequent(p: Profiled, c: str) -> list[str]:
@@ -254,19 +255,32 @@ def _coded(tables: Sequence[Profiled]) -> tuple[list[_Coded], DataFrame]:
     for p in tables:
         columns = (*p.numbers, *p.texts)
         marks = [i / RANGES for i in range(1, RANGES)]
-        ranged = [c for c in p.numbers if c not in p.valid]
-        found = p.rows.agg(F.collect_set(f"`{p.load}`").alias("loads"), *(F.percentile_approx(F.when(p.is_valid(c), p.number(c)), marks, 200).alias(f"q{i}") for i, c in enumerate(ranged))).first()
+        # values are made once, under names of their own; what reads them several times stands above
+        values = [p.number(c) if c in p.numbers else F.col(f"`{c}`") for c in columns]
+        plain = p.rows.select(
+            F.col(f"`{p.load}`").alias("load"), F.xxhash64(F.col(f"`{p.key}`"), *(F.col(f"`{c}`") for c in columns)).alias("h"),
+            *(v.alias(f"c{j}") for j, v in enumerate(values)), *(p.is_valid(c).alias(f"ok{j}") for j, c in enumerate(columns) if c in p.valid),
+        )
+        ok = [F.col(f"ok{j}") if c in p.valid else fn.is_finite(f"c{j}") if c in p.numbers else F.lit(True) for j, c in enumerate(columns)]
+        ranged = [j for j, c in enumerate(columns) if c in p.numbers and c not in p.valid]
+        found = plain.agg(F.collect_set("load").alias("loads"), *(F.percentile_approx(F.when(ok[j], F.col(f"c{j}")), marks, 100).alias(f"q{j}") for j in ranged)).first()
         loads = tuple(sorted(found["loads"]))
-        edges = {c: sorted(set(found[f"q{i}"] or [])) for i, c in enumerate(ranged)}
         own = {c: _frequent(p, c) for c in p.texts if c in p.valid}
-        widths = tuple(OCTAVES + 4 if c in p.numbers and c in p.valid else RANGES + 2 if c in p.numbers else CLASSES + 2 + len(own.get(c, ())) for c in columns)
-        layout.append(_Coded(p, columns, widths, loads, group))
+        widths, codes = [], []
+        for j, c in enumerate(columns):
+            v = F.col(f"c{j}")
+            if c not in p.numbers:
+                widths.append(CLASSES + 2 + len(own.get(c, ())))
+                codes.append(_classed(v, ok[j], own.get(c, ())))
+            else:
+                widths.append(OCTAVES + 4 if c in p.valid else RANGES + 2)
+                value = _octave(v) if c in p.valid else _ranged(v, sorted(set(found[f"q{j}"] or [])))
+                codes.append(F.when(v.isNull(), _NULL).when(~ok[j], _BROKEN).otherwise(value))
+        layout.append(_Coded(p, columns, tuple(widths), loads, group))
         number = F.create_map(*(x for i, v in enumerate(loads) for x in (F.lit(v), F.lit(group + i)))) if loads else F.lit(None).cast("map<int,int>")
-        codes = [F.shiftleft(_code(p, c, edges.get(c, ()), own.get(c, ())).cast("long"), 8 * (j % 8)) for j, c in enumerate(columns)]
-        packed = [reduce(lambda a, b: a.bitwiseOR(b), codes[8 * w : 8 * w + 8], F.lit(0).cast("long")).alias(f"w{w}") for w in range(words)]
-        h = F.xxhash64(F.col(f"`{p.key}`"), *(F.col(f"`{c}`") for c in columns))
-        chosen = p.rows.where(F.col(f"`{p.load}`").isNotNull())
-        parts.append(chosen.select(F.element_at(number, F.col(f"`{p.load}`")).alias("grp"), F.pmod(h, F.lit(2)).cast("int").alias("fold"), F.shiftrightunsigned(h, 40).cast("int").alias("u"), *packed))
+        bytes_ = [F.shiftleft(code.cast("long"), 8 * (j % 8)) for j, code in enumerate(codes)]
+        packed = [reduce(lambda a, b: a.bitwiseOR(b), bytes_[8 * w : 8 * w + 8], F.lit(0).cast("long")).alias(f"w{w}") for w in range(words)]
+        parts.append(plain.where("load IS NOT NULL").select(F.element_at(number, F.col("load")).alias("grp"), F.pmod("h", F.lit(2)).cast("int").alias("fold"), F.shiftrightunsigned("h", 40).cast("int").alias("u"), *packed))
         group += len(loads)
     return layout, reduce(DataFrame.unionByName, parts)
 

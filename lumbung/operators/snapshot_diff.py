@@ -7,23 +7,27 @@ cancels, and the pairs that differ are peeled off cells that hold a single one,
 verifies. A bucket whose cells don't all come to zero is done again with more cells. A key with a
 pair on the new side only was added, on the old side only removed, on both changed.
 
-Cells are combined where the rows are; a bucket has a bounded number of keys, whatever the size of
-the deliveries, and no step holds more than one bucket's cells beside another's.
+Rows are shuffled once, by bucket, after repeated and outdated ones have been dropped where they are
+read. A delivery's cells are made, subtracted and peeled in the partition of their bucket; only what
+differs leaves it. ``delivery_tables`` are worth keeping: a new delivery is then compared by its own
+rows and the kept cells of the one before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumbung.session import cut, shuffle_partitions
 
 BUCKET_KEYS, CELLS, GROWTH, LEVELS = 512, 384, 4, 8
-#: Cells that a task peels at once.
-CHUNK_CELLS = 400_000
+#: Cells that a task holds at once, filled or not; one bucket's at least.
+CHUNK_CELLS = 1_000_000
 _SLICE = (1 << 21) - 1
 
 # The primes of the public xxHash64 specification, which Spark's xxhash64 uses.
@@ -92,54 +96,82 @@ def peel(group: np.ndarray, cell: np.ndarray, count: np.ndarray, key: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found)), ok
 
 
-def _digest(values: Sequence[str], df: DataFrame) -> Column:
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch, the rows of a delivery and key with the latest update, equal ones once; ties are left to come together.
+
+    Of a key that is delivered over and over a task sends on a row or two per batch. Rows without a
+    comparable update are sent on.
+    """
+    for batch in batches:
+        rows = pd.DataFrame({c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("no", "key", "digest")})
+        twice = rows.duplicated(["no", "key"], keep=False).to_numpy()
+        if twice.any():
+            some = rows[twice].assign(order=pd.factorize(batch.column("updated").filter(pa.array(twice)).to_pandas(), sort=True)[0])
+            latest = some.groupby(["no", "key"])["order"].transform("max")
+            known = some["order"] >= 0
+            keep = ~twice
+            keep[twice] = ~known | ((some["order"] == latest) & ~some.duplicated())
+            batch = batch.filter(pa.array(keep))
+        yield batch
+
+
+def _elements(rows: DataFrame, partitions: int, values: Sequence[str], kinds: Mapping[str, str]) -> DataFrame:
+    """``bucket, no, key, digest`` of the row of each key that holds in its delivery, partitioned by bucket."""
+    digested = rows.withColumn("digest", _digest(values, kinds))
+    fresh = digested.mapInArrow(_fresh, digested.schema).repartition(partitions, "bucket")
+    # the partitioning by bucket serves this and all later groups of a bucket
+    held = fresh.groupBy("bucket", "no", "key").agg(F.max(F.struct("updated", *values, "digest")).alias("r"))
+    return held.select("bucket", "no", "key", F.col("r.digest").alias("digest"))
+
+
+def _digest(values: Sequence[str], kinds: Mapping[str, str]) -> Column:
     """Digest of some values; nulls equal each other only, NaNs too, and -0.0 equals 0.0."""
     parts = []
     for v in values:
-        c = F.col(f"__r.{v}")
-        kind = dict(df.dtypes)[v]
-        zero = F.when(c == 0, F.lit(0).cast(kind)).otherwise(c) if kind in ("double", "float") else c
+        c = F.col(v)
+        zero = F.when(c == 0, F.lit(0).cast(kinds[v])).otherwise(c) if kinds[v] in ("double", "float") else c
         parts += [F.coalesce(F.xxhash64(zero), F.lit(0)), c.isNull()]
     return F.xxhash64(*parts)
 
 
-def _pairs(elements: DataFrame, last: int) -> DataFrame:
-    """Each element on the new side of its own delivery's pair and on the old side of the next one's."""
-    sides = F.array(F.struct(F.col("no").alias("pair"), F.lit(1).alias("sign")), F.struct((F.col("no") + 1).alias("pair"), F.lit(-1).alias("sign")))
-    return elements.select("bucket", "key", "digest", F.explode(sides).alias("s")).select("bucket", "key", "digest", "s.*").where(f"pair BETWEEN 1 AND {last}")
+_CELL = ("n", "key", "digest", "check")
 
 
-def _peeled(pairs: DataFrame, cells: int, partitions: int) -> DataFrame:
-    """``pair, bucket, key, digest, sign`` of the recovered pairs; ``sign`` 0 marks a bucket that failed."""
+def _tables(elements: DataFrame, cells: int) -> DataFrame:
+    """``bucket, no, cell, n, key, digest, check``: a table per bucket and delivery."""
     third = cells // 3
-    h = F.xxhash64("key", "digest")
     cell = [F.pmod(F.shiftrightunsigned("check", 21 * j).bitwiseAND(F.lit(_SLICE)), F.lit(third)) + j * third for j in range(3)]
-    table = (
-        pairs.repartition(partitions, "bucket")
-        .select("pair", "bucket", "sign", "key", "digest", h.alias("check"))
-        .select("pair", "bucket", "sign", "key", "digest", "check", F.explode(F.array(*cell)).alias("cell"))
-        .groupBy("bucket", "pair", "cell")
-        .agg(F.sum("sign").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("digest").alias("digest"), F.bit_xor("check").alias("check"))
-        .where("n <> 0 OR key <> 0 OR digest <> 0 OR check <> 0")
-        .sortWithinPartitions("bucket", "pair")
-    )
-
-    def run(held: pd.DataFrame) -> pd.DataFrame:
-        group, names = pd.factorize(pd.MultiIndex.from_frame(held[["pair", "bucket"]]))
-        u = lambda c: held[c].to_numpy(np.int64).view(np.uint64)
-        (g, k, d, sign), ok = peel(group.astype(np.int64), held["cell"].to_numpy(np.int64), held["n"].to_numpy(np.int64), u("key"), u("digest"), u("check"), cells)
-        name = np.array(names.tolist(), dtype=np.int64).reshape(-1, 2)
-        keep = ok[g] if len(g) else np.empty(0, bool)
-        bad = np.flatnonzero(~ok)
-        return pd.DataFrame(
-            {
-                "pair": np.r_[name[g[keep], 0], name[bad, 0]],
-                "bucket": np.r_[name[g[keep], 1], name[bad, 1]],
-                "key": np.r_[k[keep].view(np.int64), np.zeros(len(bad), np.int64)],
-                "digest": np.r_[d[keep].view(np.int64), np.zeros(len(bad), np.int64)],
-                "sign": np.r_[sign[keep], np.zeros(len(bad), np.int64)],
-            }
-        )
+    spread = elements.withColumn("check", F.xxhash64("key", "digest")).withColumn("cell", F.explode(F.array(*cell)))
+    return spread.groupBy("bucket", "no", "cell").agg(F.count("*").alias("n"), *(F.bit_xor(c).alias(c) for c in _CELL[1:]))
+
+
+def _subtracted(tables: DataFrame, last: int) -> DataFrame:
+    """``bucket, pair, cell`` and the cells of each delivery less those of the one before; empty ones are left out."""
+    sides = F.array(F.struct(F.col("no").alias("pair"), F.col("n").alias("n")), F.struct((F.col("no") + 1).alias("pair"), (-F.col("n")).alias("n")))
+    both = tables.select("bucket", "cell", *_CELL[1:], F.explode(sides).alias("s")).select("bucket", "cell", *_CELL[1:], "s.*").where(f"pair BETWEEN 1 AND {last}")
+    less = both.groupBy("bucket", "pair", "cell").agg(F.sum("n").alias("n"), *(F.bit_xor(c).alias(c) for c in _CELL[1:]))
+    return less.where("n <> 0 OR key <> 0 OR digest <> 0 OR check <> 0")
+
+
+def _peeled(subtracted: DataFrame, cells: int) -> DataFrame:
+    """``pair, bucket, key, digest, sign`` of the recovered pairs; ``sign`` 0 marks a bucket that failed."""
+
+    def run(held: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows are sorted by group; some groups at a time, so that their tables, empty cells and all, stay small."""
+        bucket, pair = (held[c].to_numpy(np.int64) for c in ("bucket", "pair"))
+        begins = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])])
+        step = max(1, CHUNK_CELLS // cells)
+        ends = np.r_[begins[1:], len(held)]
+        for i in range(0, len(begins), step):
+            first, some = begins[i], held.iloc[begins[i] : ends[min(i + step, len(begins)) - 1]]
+            own = begins[i : i + step]
+            group = np.searchsorted(own, np.arange(first, first + len(some)), "right") - 1
+            u = lambda c: some[c].to_numpy(np.int64).view(np.uint64)  # noqa: B023, E731
+            (g, k, d, sign), ok = peel(group, some["cell"].to_numpy(np.int64), some["n"].to_numpy(np.int64), u("key"), u("digest"), u("check"), cells)
+            keep = ok[g] if len(g) else np.empty(0, bool)
+            at = np.r_[own[g[keep]], own[np.flatnonzero(~ok)]]
+            none = np.zeros(int((~ok).sum()), np.int64)
+            yield pd.DataFrame({"pair": pair[at], "bucket": bucket[at], "key": np.r_[k[keep].view(np.int64), none], "digest": np.r_[d[keep].view(np.int64), none], "sign": np.r_[sign[keep], none]})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -149,14 +181,47 @@ def _peeled(pairs: DataFrame, cells: int, partitions: int) -> DataFrame:
             rows += len(pdf)
             if rows >= CHUNK_CELLS:
                 whole = pd.concat(held)
-                tail = (whole["bucket"] == whole["bucket"].iloc[-1]).to_numpy() & (whole["pair"] == whole["pair"].iloc[-1]).to_numpy()
+                tail = ((whole["bucket"] == whole["bucket"].iloc[-1]) & (whole["pair"] == whole["pair"].iloc[-1])).to_numpy()
                 if not tail.all():
-                    yield run(whole[~tail])
+                    yield from run(whole[~tail])
                 held, rows = [whole[tail]], int(tail.sum())
         if rows:
-            yield run(pd.concat(held))
+            yield from run(pd.concat(held))
+
+    return subtracted.sortWithinPartitions("bucket", "pair").mapInPandas(work, "pair long, bucket long, key long, digest long, sign long")
+
+
+def _rows(df: DataFrame, key: str, updated: str, values: Sequence[str], no: Column, buckets: int) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``bucket, no, key, updated`` and the values under names of their own."""
+    c = lambda name: F.col(f"`{name}`")
+    names = [f"v{i}" for i in range(len(values))]
+    rows = df.select(no.alias("no"), c(key).cast("long").alias("key"), c(updated).alias("updated"), *(c(v).alias(n) for v, n in zip(values, names))).where("no IS NOT NULL AND key IS NOT NULL")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))), names, {n: df.schema[v].dataType.simpleString() for v, n in zip(values, names)}
 
-    return table.mapInPandas(work, "pair long, bucket long, key long, digest long, sign long")
+
+def bucket_count(n_rows: int, deliveries: int, bucket_keys: int = BUCKET_KEYS) -> int:
+    return max(1, -(-n_rows // (max(1, deliveries) * bucket_keys)))
+
+
+def delivery_tables(delivery: DataFrame, key: str, updated: str, values: Sequence[str], buckets: int, no: int = 0, cells: int = CELLS) -> DataFrame:
+    """``bucket, no, cell, n, key, digest, check``: the tables of one delivery, to be kept beside it.
+
+    Deliveries that are to be compared must have the same ``buckets`` and ``cells``.
+    """
+    rows, names, kinds = _rows(delivery, key, updated, values, F.lit(no), buckets)
+    return _tables(_elements(rows, shuffle_partitions(delivery.sparkSession), names, kinds), cells)
+
+
+def changes_of_tables(old: DataFrame, new: DataFrame, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """``key, how_changed`` between two deliveries by their ``delivery_tables``, and the ``bucket`` numbers that differ too much for them."""
+    both = old.withColumn("no", F.lit(0)).unionByName(new.withColumn("no", F.lit(1)))
+    peeled = cut(_peeled(_subtracted(both, 1).repartition(shuffle_partitions(old.sparkSession), "bucket"), cells))
+    return _told(peeled.where("sign <> 0").select("pair", "key", "sign")).drop("pair"), peeled.where("sign = 0").select("bucket")
+
+
+def _told(signs: DataFrame) -> DataFrame:
+    how = F.when(F.min("sign") != F.max("sign"), "changed").when(F.max("sign") > 0, "added").otherwise("removed")
+    return signs.groupBy("pair", "key").agg(how.alias("how_changed"))
 
 
 def snapshot_changes(df: DataFrame, key: str, day: str, updated: str, values: Sequence[str], bucket_keys: int = BUCKET_KEYS, cells: int = CELLS) -> DataFrame:
@@ -174,34 +239,26 @@ def snapshot_changes(df: DataFrame, key: str, day: str, updated: str, values: Se
     key_type = df.schema[key].dataType
     if len(days) < 2:
         return spark.createDataFrame([], f"`{day}` date, `{key}` {key_type.simpleString()}, how_changed string")
-    named = spark.createDataFrame(list(enumerate(days)), "no int, day date")
-    buckets = max(1, -(-df.count() // (len(days) * bucket_keys)))
-    latest = (
-        df.where(c(key).isNotNull())
-        .select(F.to_date(c(day)).alias("day"), c(key).cast("long").alias("key"), F.struct(c(updated).alias("__u"), *(c(v).alias(v) for v in values)).alias("r"))
-        .groupBy("day", "key")
-        .agg(F.max("r").alias("__r"))
-    )
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
-    elements = cut(latest.join(F.broadcast(named), "day").select("no", "key", bucket.alias("bucket"), _digest(values, df).alias("digest")))
-
-    partitions = shuffle_partitions(spark)
-    pairs = _pairs(elements, len(days) - 1)
-    recovered, todo = [], pairs
+    number = F.create_map(*(F.lit(x) for i, d in enumerate(days) for x in (d, i)))
+    rows, names, kinds = _rows(df, key, updated, values, F.element_at(number, F.to_date(c(day))), bucket_count(df.count(), len(days), bucket_keys))
+    partitions, last = shuffle_partitions(spark), len(days) - 1
+    recovered, todo = [], None
     for level in range(LEVELS + 1):
+        # buckets that failed are read again; rows of others are dropped before the shuffle
+        elements = _elements(rows if todo is None else rows.join(todo.select("bucket").distinct(), "bucket", "left_semi"), partitions, names, kinds)
         if level == LEVELS:  # hash values that repeat: count the pairs themselves
-            rest = todo.groupBy("pair", "bucket", "key", "digest").agg(F.sum("sign").cast("long").alias("sign")).where("sign <> 0")
+            sides = F.array(F.struct(F.col("no").alias("pair"), F.lit(1).alias("sign")), F.struct((F.col("no") + 1).alias("pair"), F.lit(-1).alias("sign")))
+            pairs = elements.select("bucket", "key", "digest", F.explode(sides).alias("s")).select("bucket", "key", "digest", "s.*")
+            rest = pairs.join(todo, ["pair", "bucket"], "left_semi").groupBy("pair", "bucket", "key", "digest").agg(F.sum("sign").alias("sign")).where("sign <> 0")
             recovered.append(rest.select("pair", "key", "sign"))
             break
-        result = cut(_peeled(todo, cells * GROWTH**level, partitions))
+        size = cells * GROWTH**level
+        cellwise = _subtracted(_tables(elements, size), last)
+        result = cut(_peeled(cellwise if todo is None else cellwise.join(todo, ["pair", "bucket"], "left_semi"), size))
         recovered.append(result.where("sign <> 0").select("pair", "key", "sign"))
-        failed = result.where("sign = 0").select("pair", "bucket")
-        if failed.isEmpty():
+        todo = result.where("sign = 0").select("pair", "bucket")
+        if todo.isEmpty():
             break
-        todo = pairs.join(failed, ["pair", "bucket"], "left_semi")
-    out = recovered[0]
-    for r in recovered[1:]:
-        out = out.unionByName(r)
-    how = F.when(F.min("sign") != F.max("sign"), "changed").when(F.max("sign") > 0, "added").otherwise("removed")
-    changes = out.groupBy("pair", "key").agg(how.alias("how_changed"))
+    named = spark.createDataFrame(list(enumerate(days)), "no int, day date")
+    changes = _told(reduce(DataFrame.unionByName, recovered))
     return changes.join(F.broadcast(named), changes["pair"] == named["no"]).select(F.col("day").alias(day), F.col("key").cast(key_type).alias(key), "how_changed")

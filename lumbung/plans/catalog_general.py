@@ -40,25 +40,20 @@ def p1_periods(spark: SparkSession, d: str) -> DataFrame:
 _PERIODS_SQL = """
 pairs AS (SELECT DISTINCT entity_id, join_date, end_date FROM bridge_entity_activity
           WHERE entity_id IS NOT NULL AND join_date IS NOT NULL AND (end_date IS NULL OR end_date >= join_date)),
-filled AS (SELECT *, COALESCE(end_date, DATE '9999-12-31') AS e FROM pairs),
-reached AS (SELECT *, MAX(e) OVER (PARTITION BY entity_id ORDER BY join_date, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM filled),
-numbered AS (SELECT *, SUM(CASE WHEN r IS NULL OR join_date > r + INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id ORDER BY join_date, e ROWS UNBOUNDED PRECEDING) AS g FROM reached),
-periods AS (SELECT entity_id, MIN(join_date) AS s, MAX(e) AS e, COUNT(*) AS n FROM numbered GROUP BY entity_id, g),
-gaps AS (SELECT entity_id, s, e, n, LEAD(s) OVER (PARTITION BY entity_id ORDER BY s) AS next_s FROM periods)
+filled AS (SELECT *, COALESCE(datediff('day', DATE '1970-01-01', end_date), 2147483647) AS e, datediff('day', DATE '1970-01-01', join_date) AS b FROM pairs),
+reached AS (SELECT *, MAX(e) OVER (PARTITION BY entity_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM filled),
+numbered AS (SELECT *, SUM(CASE WHEN r IS NULL OR b > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS g FROM reached),
+days AS (SELECT entity_id, MIN(b) AS b, MAX(e) AS e, COUNT(*) AS n FROM numbered GROUP BY entity_id, g),
+nexts AS (SELECT *, LEAD(b) OVER (PARTITION BY entity_id ORDER BY b) AS next_b FROM days),
+both_kinds AS (SELECT entity_id, 'period' AS kind, n, DATE '1970-01-01' + CAST(b AS INT) AS start_day, CASE WHEN e < 2147483647 THEN DATE '1970-01-01' + CAST(e AS INT) END AS end_day FROM days
+  UNION ALL SELECT entity_id, 'gap', 2, DATE '1970-01-01' + CAST(e + 1 AS INT), DATE '1970-01-01' + CAST(next_b - 1 AS INT) FROM nexts WHERE next_b IS NOT NULL)
 """
-_OPEN = "DATE '9999-12-31'"
 
 P1_FOUND_SQL = f"""WITH {_PERIODS_SQL}
-SELECT entity_id, 'period' AS kind, strftime(s, '%Y-%m-%d') AS start_day, CASE WHEN e = {_OPEN} THEN 'open' ELSE strftime(e, '%Y-%m-%d') END AS end_day FROM periods WHERE n > 1
-UNION ALL
-SELECT entity_id, 'gap', strftime(CAST(e + INTERVAL 1 DAY AS DATE), '%Y-%m-%d'), strftime(CAST(next_s - INTERVAL 1 DAY AS DATE), '%Y-%m-%d') FROM gaps WHERE next_s IS NOT NULL"""
-
-P1_PERIODS_SQL = f"""WITH {_PERIODS_SQL},
-both_kinds AS (
-SELECT entity_id, 'period' AS kind, s AS start_day, CASE WHEN e <> {_OPEN} THEN e END AS end_day FROM periods
-UNION ALL
-SELECT entity_id, 'gap', CAST(e + INTERVAL 1 DAY AS DATE), CAST(next_s - INTERVAL 1 DAY AS DATE) FROM gaps WHERE next_s IS NOT NULL)
-SELECT *, CAST(end_day - start_day + 1 AS INT) AS n_days FROM both_kinds"""
+SELECT entity_id, kind, strftime(start_day, '%Y-%m-%d') AS start_day, COALESCE(strftime(end_day, '%Y-%m-%d'), 'open') AS end_day FROM both_kinds WHERE n > 1"""
+
+P1_PERIODS_SQL = f"""WITH {_PERIODS_SQL}
+SELECT entity_id, kind, start_day, end_day, CAST(end_day - start_day + 1 AS INT) AS n_days FROM both_kinds"""
 
 
 # --- 2. heavy keys --------------------------------------------------------------------------------

@@ -81,6 +81,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_partitions(df: DataFrame) -> int:
+    """About how many tasks read ``df``, by the size that its plan tells; nothing is run."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # the plan doesn't know
+        return spark.sparkContext.defaultParallelism
+    return max(1, -(-size // spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))))
+
+
 _shipped: set[str] = set()
 
 

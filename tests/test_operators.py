@@ -63,6 +63,43 @@ def test_periods_of_one_hot_key_and_text_keys(spark):
     assert got == plain_periods(data) and ("c", "period", day(0), None, True) in got
 
 
+def test_tree_of_any_depth_gives_the_same(spark):
+    r = random.Random(8)
+    data = [(r.randint(1, 3), day(s), day(s + r.randint(0, 3))) for s in (r.randint(0, 3000) for _ in range(900))]
+    df = spark.createDataFrame(data, "k int, f date, t date").repartition(30)
+    for fan_in, partitions in ((2, 30), (4, 30), (32, 30), (2, 1)):
+        got = intervals.continuous_periods(df, "k", "f", "t", fan_in, partitions)
+        assert rows(got.selectExpr("k", "'period' AS kind", "inline(periods)")) == [x for x in plain_periods(data) if x[1] == "period"]
+    with pytest.raises(ValueError):
+        intervals.continuous_periods(df.selectExpr("double(k) AS k", "f", "t"), "k", "f", "t")
+
+
+def test_full_states_are_sent_on_and_lists_span_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    n = 3000
+    keys = np.sort(np.random.default_rng(1).integers(0, 5, n))
+    start = np.concatenate([np.sort(np.random.default_rng(k).integers(0, 9000, (keys == k).sum())) for k in range(5)])
+    end = start + np.random.default_rng(9).integers(0, 4, n)
+    schema = pa.schema([("key", pa.int64()), ("periods", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("many", pa.bool_())]))), ("gaps", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
+    whole = pa.RecordBatch.from_pydict({"key": keys, "start": start, "end": end, "many": np.zeros(n, bool)})
+    want = None
+    for size in (n, 700, 7, 1):
+        out = pa.Table.from_batches(intervals._final(schema)(iter([whole.slice(i, size) for i in range(0, n, size)]))).to_pylist()
+        want = want or out
+        assert out == want and [x["key"] for x in out] == list(range(5)) and all(len(x["gaps"]) == len(x["periods"]) - 1 for x in out)
+    monkeypatch.setattr(intervals, "BUFFER_ROWS", 50)
+    state = intervals._State()
+    import pandas as pd
+
+    order = np.random.default_rng(2).permutation(n)
+    for i in range(0, n, 40):
+        at = order[i : i + 40]
+        state.add(pd.DataFrame({"key": keys[at], "start": start[at], "end": end[at], "many": False}))
+    got = pd.concat(state.frames(0)).sort_values(["key", "start"])
+    assert got["start"].tolist() == [p["start"] for x in want for p in x["periods"]] and got["many"].tolist() == [p["many"] for x in want for p in x["periods"]]
+
+
 def test_periods_of_nothing(spark):
     df = spark.createDataFrame([(None, DAY, DAY), (1, None, DAY), (2, DAY, day(-1))], "k int, f date, t date")
     assert intervals.continuous_periods(df, "k", "f", "t").count() == 0
@@ -261,8 +298,8 @@ def test_ablation_refits(spark):
 def test_octave_ranges_hold_their_values(spark):
     r = np.random.default_rng(7)
     values = [0.0, 1e-9, 1.0, 2.0, 3.0, 1e6, 2.0**40, *np.exp(r.uniform(-5, 14, 300)).tolist()]
-    p = profile.Profiled("tab", spark.createDataFrame([(v,) for v in values], "n double"), "k", "load_no", ("n",), (), {"n": F.col("n") >= 0})
-    for x in p.rows.select("n", profile._code(p, "n", (), ()).alias("c")).collect():
+    df = spark.createDataFrame([(v,) for v in values], "n double")
+    for x in df.select("n", profile._octave(F.col("n")).alias("c")).collect():
         low, high = profile._octave_bounds(x["c"])
         assert low <= x["n"] <= high and x["c"] < profile.OCTAVES + 4
 
@@ -382,6 +419,57 @@ def test_nulls_in_different_columns_differ(spark):
     assert rows(snapshot_diff.snapshot_changes(df, "id", "snap", "u", ["q", "a"])) == [(day(1), 1, "changed")]
 
 
+def test_a_key_delivered_over_and_over_stays_small():
+    import pyarrow as pa
+
+    n = 10_000
+    batch = pa.RecordBatch.from_pydict({"no": [0] * n, "key": [7] * n, "updated": [None, *range(n - 1)], "digest": [1] * n})
+    (out,) = snapshot_diff._fresh([batch])
+    assert out.column("updated").to_pylist() == [None, n - 2]
+    batch = pa.RecordBatch.from_pydict({"no": [0] * 4 + [1], "key": [7] * 5, "updated": [5, 5, 5, 4, 4], "digest": [1, 2, 1, 9, 9]})
+    (out,) = snapshot_diff._fresh([batch])
+    assert list(zip(*(out.column(c).to_pylist() for c in ("no", "updated", "digest")))) == [(0, 5, 1), (0, 5, 2), (1, 4, 9)]
+
+
+def test_kept_tables_give_the_same_changes(spark):
+    old = spark.createDataFrame([(i, i, float(i)) for i in range(400)], "id int, u int, q double")
+    new = spark.createDataFrame([(i, i, float(i + (i % 9 == 0))) for i in range(5, 410)], "id int, u int, q double")
+    a, b = (snapshot_diff.delivery_tables(x, "id", "u", ["q"], buckets=4).cache() for x in (old, new))
+    changes, failed = snapshot_diff.changes_of_tables(a, b)
+    want = [(i, "removed") for i in range(5)] + [(i, "changed") for i in range(9, 400, 9)] + [(i, "added") for i in range(400, 410)]
+    assert rows(changes) == sorted(want, key=repr) and failed.count() == 0
+
+
+def test_many_buckets_with_one_change_each_stay_small(spark):
+    """A task that peels far more buckets than cells are filled holds a bounded number of tables."""
+    import tracemalloc
+
+    n = 60_000
+    key = np.arange(n, dtype=np.uint64)
+    check = snapshot_diff.check_hash(key, key)
+    cell = snapshot_diff.cells_of(check, snapshot_diff.CELLS)
+    pdf = {"bucket": np.repeat(np.arange(n), 3), "pair": np.ones(3 * n, np.int64), "cell": cell.T.ravel(), "n": np.ones(3 * n, np.int64)}
+    pdf |= {c: np.repeat(v, 3).view(np.int64) for c, v in (("key", key), ("digest", key), ("check", check))}
+
+    class Plan:
+        """Stands for the sorted plan that the function is mapped over."""
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+        def mapInPandas(self, work, _):
+            import pandas as pd
+
+            whole = pd.DataFrame(pdf)
+            return list(work(whole.iloc[i : i + 10_000] for i in range(0, 3 * n, 10_000)))
+
+    tracemalloc.start()
+    out = snapshot_diff._peeled(Plan(), snapshot_diff.CELLS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(x) for x in out) == n and all((x["sign"] == 1).all() for x in out) and peak < 150e6
+
+
 def test_hash_equals_the_one_of_spark(spark):
     values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
     df = spark.createDataFrame([(a, b) for a in values for b in values], "a long, b long").selectExpr("a", "b", "xxhash64(a, b) AS h").toPandas()
