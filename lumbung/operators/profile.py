@@ -225,12 +225,34 @@ def _octave_bounds(code: int) -> tuple[float, float]:
 
 def _octave(x: Column) -> Column:
     """The code of a number that obeys its rule."""
-    place = F.floor(F.log2(F.when(x > 0, x)) * OCTAVE_PARTS) - LOWEST + 1
-    return F.when(x == 0, 2).otherwise(F.coalesce(F.greatest(F.lit(0), F.least(F.lit(OCTAVES), place)), F.lit(0)) + 3)
+    quarters = F.log2(F.when(x > 0, x)) * OCTAVE_PARTS - (LOWEST - 1)
+    place = F.floor(F.least(F.greatest(quarters, F.lit(0.0)), F.lit(float(OCTAVES)))).cast("int")
+    return F.when(x == 0, 2).otherwise(F.coalesce(place, F.lit(0)) + 3)
 
 
-def _ranged(x: Column, edges: Sequence[float]) -> Column:
-    return F.lit(2) + sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0))
+def _encoder(columns: Sequence[tuple[int, Sequence[float] | None]], words: int):
+    """Codes of a batch's columns, a byte each, in words of eight.
+
+    ``columns`` are their places with the edges of number ranges, None where the column is a code already.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 8 * words), np.uint8)
+            for j, edges in columns:
+                column = batch.column(f"c{j}")
+                x = column.to_numpy(zero_copy_only=False)
+                if edges is None:
+                    out[:, j] = x
+                else:
+                    out[:, j] = np.where(np.isfinite(x), 2 + np.searchsorted(edges, x, "left"), _BROKEN)
+                    if column.null_count:
+                        out[column.is_null().to_numpy(zero_copy_only=False), j] = _NULL
+            packed = out.view("<i8")
+            names = ["grp", "fold", "u"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(packed[:, w]) for w in range(words))], names=[*names, *(f"w{w}" for w in range(words))])
+
+    return encode
 
 
 def _classed(v: Column, ok: Column, own: Sequence[str]) -> Column:
@@ -266,21 +288,24 @@ def _coded(tables: Sequence[Profiled]) -> tuple[list[_Coded], DataFrame]:
         found = plain.agg(F.collect_set("load").alias("loads"), *(F.percentile_approx(F.when(ok[j], F.col(f"c{j}")), marks, 100).alias(f"q{j}") for j in ranged)).first()
         loads = tuple(sorted(found["loads"]))
         own = {c: _frequent(p, c) for c in p.texts if c in p.valid}
-        widths, codes = [], []
+        widths, coded, edges = [], [], []
         for j, c in enumerate(columns):
             v = F.col(f"c{j}")
             if c not in p.numbers:
                 widths.append(CLASSES + 2 + len(own.get(c, ())))
-                codes.append(_classed(v, ok[j], own.get(c, ())))
+                coded.append(_classed(v, ok[j], own.get(c, ())).cast("int"))
+            elif c in p.valid:
+                widths.append(OCTAVES + 4)
+                coded.append(F.when(v.isNull(), _NULL).when(~ok[j], _BROKEN).otherwise(_octave(v)))
             else:
-                widths.append(OCTAVES + 4 if c in p.valid else RANGES + 2)
-                value = _octave(v) if c in p.valid else _ranged(v, sorted(set(found[f"q{j}"] or [])))
-                codes.append(F.when(v.isNull(), _NULL).when(~ok[j], _BROKEN).otherwise(value))
+                widths.append(RANGES + 2)
+                coded.append(v)
+            edges.append(np.unique(found[f"q{j}"] or []) if j in ranged else None)
         layout.append(_Coded(p, columns, tuple(widths), loads, group))
         number = F.create_map(*(x for i, v in enumerate(loads) for x in (F.lit(v), F.lit(group + i)))) if loads else F.lit(None).cast("map<int,int>")
-        bytes_ = [F.shiftleft(code.cast("long"), 8 * (j % 8)) for j, code in enumerate(codes)]
-        packed = [reduce(lambda a, b: a.bitwiseOR(b), bytes_[8 * w : 8 * w + 8], F.lit(0).cast("long")).alias(f"w{w}") for w in range(words)]
-        parts.append(plain.where("load IS NOT NULL").select(F.element_at(number, F.col("load")).alias("grp"), F.pmod("h", F.lit(2)).cast("int").alias("fold"), F.shiftrightunsigned("h", 40).cast("int").alias("u"), *packed))
+        rows = plain.where("load IS NOT NULL").select(F.element_at(number, F.col("load")).alias("grp"), F.pmod("h", F.lit(2)).cast("int").alias("fold"), F.shiftrightunsigned("h", 40).cast("int").alias("u"), *(x.alias(f"c{j}") for j, x in enumerate(coded)))
+        # so many comparisons would make a method too long for the JVM to compile; numpy searches the edges
+        parts.append(rows.mapInArrow(_encoder(list(enumerate(edges)), words), "grp int, fold int, u int, " + ", ".join(f"w{w} long" for w in range(words))))
         group += len(loads)
     return layout, reduce(DataFrame.unionByName, parts)
 
