@@ -77,13 +77,31 @@ def is_finite(column: Column | str) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
 
 
+def exact_part(column: Column | str) -> Column:
+    """The finite value with six decimals; null for others and for values beyond the decimal's range."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(is_finite(c) & (F.abs(c) < 1e22), c).cast("decimal(28,6)")
+
+
+def rest_part(column: Column | str) -> Column:
+    """What ``exact_part`` leaves of a finite value: nothing of most, digits beyond six decimals, or all of 1e22 and more."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(is_finite(c), c - F.coalesce(exact_part(c).cast("double"), F.lit(0.0)))
+
+
+def sum_of_parts(exact: Column, rest: Column) -> Column:
+    """The sum from sums of both parts; null if there was no value."""
+    return F.when(rest.isNotNull(), F.coalesce(exact.cast("double"), F.lit(0.0)) + rest)
+
+
 def exact_sum(column: Column | str) -> Column:
-    """Sum of the finite values with six decimals, the same in whatever order they arrive.
+    """Sum of the finite values, the same in whatever order they arrive.
 
-    Null, NaN, infinite values and values of 1e22 or more add nothing; no value at all gives null.
+    Six decimals are summed exactly; what lies beyond, and values of 1e22 or more, are added as
+    doubles, whose last bit may depend on the order. Null, NaN and infinite values add nothing; no
+    value at all gives null.
     """
-    c = F.col(column) if isinstance(column, str) else column
-    return F.sum(F.when(is_finite(c) & (F.abs(c) < 1e22), c).cast("decimal(28,6)")).cast("double")
+    return sum_of_parts(F.sum(exact_part(column)), F.sum(rest_part(column)))
 
 
 def text_digest(columns: list[str]) -> Column:

@@ -40,6 +40,12 @@ def row_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*(F.col(_q(c)) for c in columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def row_hashes(columns: Sequence[Column]) -> list[Column]:
+    """128 bits of a row: equal rows have equal ones, and which values are null is a part of them."""
+    nulls = [c.isNull() for c in columns]
+    return [F.xxhash64(F.lit(salt), *columns, *nulls) for salt in (1, 2)]
+
+
 @dataclass(frozen=True)
 class Compared:
     """``rows`` are the source rows with ``change``: ``new``, ``changed`` or ``unchanged``."""

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumbung.operators.merge import check_unique, compare, merged, merged_changes, missing_rows
+from lumbung.operators.merge import check_unique, compare, merged, missing_rows
 from lumbung.operators.sinks import JdbcSink, ParquetSink
 
 Sink = ParquetSink | JdbcSink
@@ -51,20 +51,20 @@ def _count(sink: Sink) -> int:
 
 
 def overwrite(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> WriteStats:
-    if df.isEmpty():
-        return WriteStats()
     before = _count(sink)
-    n = sink.replace(df)
+    n = sink.replace(df, keep_if_empty=True)
     failed = _failures(sink)
+    if not n + failed:
+        return WriteStats()
     return WriteStats(source_count=n + failed, count_before=before, count_after=n, processed=n + failed, inserted=n, failed=failed)
 
 
 def append(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> WriteStats:
-    if df.isEmpty():
-        return WriteStats()
     before = _count(sink)
     n = sink.append(df, keys)
     failed = _failures(sink)
+    if not n + failed:
+        return WriteStats()
     return WriteStats(source_count=n + failed, count_before=before, count_after=_count(sink) if failed else before + n, processed=n + failed, inserted=n, failed=failed)
 
 
@@ -82,11 +82,9 @@ def _counts(rows: DataFrame) -> dict[str, int]:
 def upsert(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> WriteStats:
     """Keys must be unique in source and target; else ValueError and nothing is written."""
     target = sink.read()
-    if keys:
-        check_unique(df, keys, "the source")
-        if target is not None:
-            check_unique(target, keys, "the target")
     if target is None:
+        if keys:
+            check_unique(df, keys, "the source")
         n = sink.replace(df)
         more = {"new_rows": n, "existing_rows": 0, "changed_rows": 0} if keys else {}
         return WriteStats(source_count=n, count_before=0, count_after=n, processed=n, inserted=n, updated=0, skipped=0, success=n, **more)
@@ -97,13 +95,14 @@ def upsert(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> Writ
         if inserted:
             sink.append(new)
         return WriteStats(source_count=total, count_before=before, count_after=before + inserted, processed=inserted, inserted=inserted, updated=0, skipped=total - inserted, success=inserted)
+    failed = lost = 0
     if isinstance(sink, ParquetSink):
-        found = sink.merge(merged_changes(df, target, keys))
-        failed = lost = 0
+        found = sink.upsert(df, keys)
     else:
+        check_unique(df, keys, "the source")
+        check_unique(target, keys, "the target")
         compared = compare(df, target, keys)
         found = _counts(compared.rows)
-        failed = lost = 0
         if found.get("new") or found.get("changed"):
             changes = compared.of("new", "changed")
             sink.apply(changes, merged(changes, target, keys), keys)
@@ -117,11 +116,28 @@ def upsert(df: DataFrame, sink: Sink, keys: Sequence[str] | None = None) -> Writ
     )
 
 
+OPTIONS = ("batch_size", "workers", "partitions", "isolation", "transaction")
 METHODS: dict[str, Callable[..., WriteStats]] = {f.__name__: f for f in (overwrite, append, truncate, upsert)}
 
 
-def run_method(df: DataFrame, sink: Sink, method: str, keys: Sequence[str] | None = None) -> WriteStats:
-    """Write ``df`` by the named method; ValueError for a name that isn't one of the four."""
+def run_method(df: DataFrame, sink: Sink, method: str, keys: Sequence[str] | None = None, **options: object) -> WriteStats:
+    """Write ``df`` by the named method; ValueError for a name that isn't one of the four.
+
+    ``options`` hold for this write: ``batch_size``, ``workers``, ``partitions``, ``isolation`` and
+    ``transaction`` (all or nothing) of a database table. A Parquet table is written all or nothing in
+    any case and takes the same options without effect; unknown ones raise ValueError.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}; one of {', '.join(METHODS)}")
-    return METHODS[method](df, sink, keys)
+    if unknown := set(options) - set(OPTIONS):
+        raise ValueError(f"unknown options: {', '.join(sorted(unknown))}; of {', '.join(OPTIONS)}")
+    if isinstance(sink, ParquetSink) or not options:
+        return METHODS[method](df, sink, keys)
+    before = {k: getattr(sink, k) for k in options}
+    try:
+        for k, v in options.items():
+            setattr(sink, k, v)
+        return METHODS[method](df, sink, keys)
+    finally:
+        for k, v in before.items():
+            setattr(sink, k, v)

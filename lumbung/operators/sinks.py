@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lumbung.operators.upsert_sql import upsert_sql
-from lumbung.session import delete_path, hadoop_path
+from lumbung.operators.merge import UNCOMPARED, check_unique, row_hashes
+from lumbung.operators.upsert_sql import bound_sql, staged_sql
+from lumbung.session import Scratch, cut, delete_path, hadoop_path, rows_written
 from lumbung.sources.jdbc import Target, count_rows, read_columns, read_query, truncate_sql
 
 BATCH_SIZE, WORKERS, PARTITIONS = 5000, 4, 8
@@ -25,11 +30,15 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
 
 
 class ParquetSink:
-    """A Parquet table at ``path``, replaced as a whole.
+    """A Parquet table at ``path``.
 
-    Writes go to ``path.staging-…`` first. Publishing moves the live folder to ``path.old``, the
-    staged one to ``path``, then deletes the old. A run that dies between the moves is repaired by
-    the next access, which moves ``path.old`` back.
+    As a whole it is replaced by writing to ``path.staging-…`` and publishing: the live folder moves
+    to ``path.old``, the staged one to ``path``, then the old is deleted. A run that dies between the
+    moves is repaired by the next access, which moves ``path.old`` back.
+
+    An upsert rewrites only the files that hold changed rows. The files to add and to delete are
+    listed in ``path.journal`` before any of them is touched; the next access finishes what a run that
+    died has begun. Readers that don't go through this class may see both states while files move.
     """
 
     failed: DataFrame | None = None  # a Parquet write succeeds or fails as a whole
@@ -48,6 +57,8 @@ class ParquetSink:
 
     def recover(self) -> None:
         """Undo or finish a publication that was interrupted."""
+        if self._exists(f"{self.path}.journal"):
+            self._finish()
         old = f"{self.path}.old"
         if self._exists(old):
             if self._exists(self.path):
@@ -95,23 +106,12 @@ class ParquetSink:
             raise
         delete_path(self.spark, f"{self.path}.old")
 
-    def replace(self, df: DataFrame) -> int:
-        """Rows written. ``df`` may read the table that it replaces."""
+    def replace(self, df: DataFrame, keep_if_empty: bool = False) -> int:
+        """Rows written. ``df`` may read the table that it replaces; ``keep_if_empty`` leaves the table alone if it has no row."""
         df, seen = counted(df)
-        self._staged(df)
+        self._staged(df, lambda: not keep_if_empty or seen.get["n"] > 0)
         return seen.get["n"]
 
-    def merge(self, rows: DataFrame) -> dict[str, int]:
-        """Replace the table by ``merge.merged_changes`` of it, unless nothing changed; rows by change.
-
-        One plan finds the changes, counts them and writes the new state.
-        """
-        kinds = ("new", "changed", "unchanged", "kept")
-        seen = Observation()
-        observed = rows.observe(seen, *(F.count_if(F.col("__change") == k).alias(k) for k in kinds)).drop("__change")
-        self._staged(observed, lambda: seen.get["new"] + seen.get["changed"] > 0)
-        return {k: seen.get[k] for k in kinds}
-
     def append(self, df: DataFrame, keys: Sequence[str] | None = None) -> int:
         """Rows added. Spark's committer publishes the files of a job only when all tasks succeeded."""
         self.recover()
@@ -119,60 +119,212 @@ class ParquetSink:
         self._write(df, self.path, "append")
         return seen.get["n"]
 
+    def _changes(self, source: DataFrame, target: DataFrame, keys: Sequence[str], ignore: Sequence[str], scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
+        """The new and changed rows of ``source`` with ``__change`` and the ``__file`` of the row that each replaces, and counts by change.
+
+        The table sends its keys, hashes of the compared columns and file names only. Repeated keys of
+        either side are counted on the way.
+        """
+        types = dict(target.dtypes)
+        both = [c for c in target.columns if c in source.columns]
+        compared = [c for c in both if c not in keys and c not in ignore]
+        q = lambda c: F.col(f"`{c}`")
+        keyed = lambda: [q(k).isNotNull() for k in keys]
+        s = source.select(*(q(c).cast(types[c]).alias(c) for c in both))
+        a, b = row_hashes([q(c) for c in compared])
+        s = s.withColumns({"__a": a, "__b": b})
+        there = target.select(*map(q, keys), a.alias("__ta"), b.alias("__tb"), F.col("_metadata.file_path").alias("__file"))
+        for k in keyed():
+            there = there.where(k)
+        of_target, of_source = Observation(), Observation()
+        there = there.groupBy(*map(q, keys)).agg(F.count("*").alias("__times"), *(F.first(c).alias(c) for c in ("__ta", "__tb", "__file")))
+        there = there.observe(of_target, F.count_if(F.col("__times") > 1).alias("repeated"))
+        change = F.when(F.col("__ta").isNull(), "new").when((F.col("__a") != F.col("__ta")) | (F.col("__b") != F.col("__tb")), "changed").otherwise("unchanged")
+        joined = s.join(there, list(keys), "left").withColumn("__change", change)
+        joined = joined.withColumn("__nth", F.row_number().over(Window.partitionBy(*map(q, keys)).orderBy(F.lit(0))))
+        has_key = F.lit(True)
+        for k in keyed():
+            has_key = has_key & k
+        kinds = ("new", "changed", "unchanged")
+        joined = joined.observe(of_source, F.count_if(has_key & (F.col("__nth") > 1)).alias("repeated"), *(F.count_if(F.col("__change") == k).alias(k) for k in kinds))
+        found = scratch.table("changes", joined.where("__change <> 'unchanged'").select(*map(q, both), "__change", "__file"))
+        if of_source.get["repeated"]:
+            check_unique(source, keys, "the source")
+            raise ValueError("the source holds keys more than once")
+        if of_target.get["repeated"]:
+            check_unique(target, keys, "the target")
+        return found, {k: of_source.get[k] for k in kinds}
+
+    def upsert(self, source: DataFrame, keys: Sequence[str], ignore: Sequence[str] = UNCOMPARED) -> dict[str, int]:
+        """Rows of ``source`` by change (``new``, ``changed``, ``unchanged``), after the first two have been written.
+
+        Changes are found first; if there is none nothing is written. Of the table only the files are
+        rewritten that hold a row that changed. Columns that the source lacks keep their old values;
+        columns that the table lacks are not added; values are cast to the table's types. Repeated keys
+        raise ValueError before anything is written; a null key matches nothing and is new.
+        """
+        target = self.read()
+        q = lambda c: F.col(f"`{c}`")
+        with Scratch(self.spark) as scratch:
+            changes, counts = self._changes(source, target, keys, ignore, scratch)
+            if not counts["new"] and not counts["changed"]:
+                return counts
+            both = [c for c in target.columns if c in source.columns]
+            fresh = changes.where("__change = 'new'").select(*(q(c) if c in both else F.lit(None).cast(t).alias(c) for c, t in target.dtypes))
+            files = [r[0] for r in changes.where("__change = 'changed'").select("__file").distinct().collect()] if counts["changed"] else []
+            paths = [self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(f)).toString() for f in files]
+            out = fresh
+            if files:
+                old = self.spark.read.schema(target.schema).option("basePath", self.path).parquet(*paths).alias("t")
+                won = changes.where("__change = 'changed'").select(*map(q, both), F.lit(True).alias("__won")).alias("s")
+                on = [F.col(f"t.`{k}`") == F.col(f"s.`{k}`") for k in keys]
+                pick = lambda c: F.when(F.col("s.__won"), F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) if c in both else F.col(f"t.`{c}`")
+                out = old.join(won, on, "left").select(*map(pick, target.columns))
+                out = out.unionByName(fresh) if counts["new"] else out
+            staging = f"{self.path}.staging-{uuid.uuid4().hex}"
+            try:
+                self._write(out, staging, "errorifexists")
+                self._journal(staging, paths)
+            except BaseException:
+                delete_path(self.spark, staging)
+                raise
+            self._finish()
+            return counts
+
+    def _journal(self, staging: str, remove: Sequence[str]) -> None:
+        """List what is to be moved and deleted; the list appears at its place whole or not at all."""
+        fs, root = hadoop_path(self.spark, staging)
+        base = fs.makeQualified(root).toUri().getPath()
+        found, add = fs.listFiles(root, True), []
+        while found.hasNext():
+            at = found.next().getPath()
+            if not at.getName().startswith(("_", ".")):
+                add.append(at.toUri().getPath()[len(base) :].lstrip("/"))
+        draft = f"{self.path}.journal-{uuid.uuid4().hex}"
+        out = fs.create(hadoop_path(self.spark, draft)[1], True)
+        out.write(bytearray(json.dumps({"staging": staging, "add": add, "remove": list(remove)}).encode()))
+        out.close()
+        self._rename(draft, f"{self.path}.journal")
+
+    def _finish(self) -> None:
+        """Do what the journal says, as far as it isn't done yet."""
+        fs, at = hadoop_path(self.spark, f"{self.path}.journal")
+        stream = fs.open(at)
+        todo = json.loads(bytes(stream.readAllBytes()))
+        stream.close()
+        for name in todo["add"]:
+            if self._exists(f"{todo['staging']}/{name}"):
+                if "/" in name:
+                    fs.mkdirs(hadoop_path(self.spark, f"{self.path}/{name.rpartition('/')[0]}")[1])
+                self._rename(f"{todo['staging']}/{name}", f"{self.path}/{name}")
+        for path in todo["remove"]:
+            delete_path(self.spark, path)
+        delete_path(self.spark, f"{self.path}.journal")
+        delete_path(self.spark, todo["staging"])
+
 
 class JdbcSink:
     """A database table written by Spark's JDBC writer.
 
     An overwrite empties the table by its dialect's statement and appends, so the declared schema, keys
     and rights stay; Spark's own overwrite drops and makes anew the tables of databases it has no
-    dialect for.
+    dialect for. Rows are counted by the writer's own tasks.
 
     With ``connect``, which is called on executors and returns a DB-API connection, upserts send only
     the changed rows, and a native write that fails is done again row-wise with failing rows set aside
     in ``failed``: after a truncation, or by key, where repeating a row changes nothing. An append
     without keys is not repeated, because a part of it may have been written. Without ``connect`` an
-    upsert replaces the table by its merged state, which is kept on the shared storage first.
+    upsert writes the changed rows to a staging table and brings them over by statements.
+
+    ``transaction`` makes every write all or nothing: rows go to a staging table first, and are brought
+    over in one transaction of the database (ValueError if it has none).
     """
 
-    def __init__(self, spark: SparkSession, target: Target, batch_size: int = 10_000, partitions: int = PARTITIONS, isolation: str = "READ_COMMITTED", connect: Callable[[], object] | None = None):
+    def __init__(
+        self, spark: SparkSession, target: Target, batch_size: int = 10_000, partitions: int = PARTITIONS, isolation: str = "READ_COMMITTED", connect: Callable[[], object] | None = None, workers: int = WORKERS, transaction: bool = False
+    ):
         self.spark, self.target, self.batch_size, self.partitions, self.isolation, self.connect = spark, target, batch_size, partitions, isolation, connect
+        self.workers, self.transaction = workers, transaction
         self.failed: DataFrame | None = None
 
+    def _save(self, df: DataFrame, table: str, **more: str) -> int:
+        writer = df.write.format("jdbc").options(**self.target.options(), **more).option("dbtable", table)
+        return rows_written(self.spark, writer.option("batchsize", self.batch_size).option("isolationLevel", self.isolation).option("numPartitions", self.partitions).mode("append").save)
+
     def _write(self, df: DataFrame, mode: str) -> int:
-        # the JDBC writer runs a plan of its own, which observes nothing: count what is kept for it
-        kept = df.persist()
-        try:
-            n = kept.count()
-            if mode == "overwrite" and self.exists():
-                self.truncate()
-            writer = kept.write.format("jdbc").options(**self.target.options()).option("dbtable", self.target.table)
-            writer.option("batchsize", self.batch_size).option("isolationLevel", self.isolation).option("numPartitions", self.partitions).mode("append").save()
-            return n
-        finally:
-            kept.unpersist()
+        if mode == "overwrite" and self.exists():
+            self.truncate()
+        return self._save(df, self.target.table)
 
     def _row_wise(self, df: DataFrame, keys: Sequence[str] | None) -> int:
-        out = write_rows(df, self.connect, self.target.dialect.name, self.target.table, keys)
+        out = write_rows(df, self.connect, self.target.dialect.name, self.target.table, keys, self.batch_size, self.workers)
         self.failed = out.failed if out.failed_count else None
         return out.success
 
-    def _execute(self, sql: str) -> None:
-        """Run one statement from the driver, through the same JDBC driver that Spark uses."""
+    def _execute(self, *statements: str) -> None:
+        """Run statements from the driver in one transaction, through the same JDBC driver that Spark uses."""
         jvm, t = self.spark._jvm, self.target
         jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(t.options()["driver"])
         connection = jvm.java.sql.DriverManager.getConnection(t.url, t.user, t.password) if t.user else jvm.java.sql.DriverManager.getConnection(t.url)
         try:
-            statement = connection.createStatement()
-            statement.execute(sql)
-            statement.close()
+            if len(statements) > 1 and t.dialect.transactions:
+                connection.setAutoCommit(False)
+            for sql in statements:
+                statement = connection.createStatement()
+                statement.execute(sql)
+                statement.close()
+            if not connection.getAutoCommit():
+                connection.commit()
+        except BaseException:
+            if not connection.getAutoCommit():
+                connection.rollback()
+            raise
         finally:
             connection.close()
 
+    def _names(self, columns: Sequence[str]) -> list[str]:
+        """The table's own names of some columns, which may differ in case."""
+        known = {c.lower(): c for c in self.read().columns}
+        return [known.get(c.lower(), c) for c in columns]
+
+    def _through_staging(self, df: DataFrame, statements: Callable[[str], Sequence[str]]) -> int:
+        """Write ``df`` to a staging table and run statements with its name, all in one transaction. Rows staged.
+
+        Where the database has no transactions, and a statement fails, the staging table stays, and the error names it.
+        """
+        staging = f"{self.target.table}_stage_{uuid.uuid4().hex[:8]}"
+        d = self.target.dialect
+        try:
+            n = self._save(df, staging, **({"createTableOptions": d.create} if d.create else {}))
+            self._execute(*statements(staging))
+        except BaseException as e:
+            if not d.transactions:
+                raise RuntimeError(f"rows not brought over are in {staging}") from e
+            self._drop(staging)
+            raise
+        self._drop(staging)
+        return n
+
+    def _drop(self, table: str) -> None:
+        if self._is_there(table):
+            self._execute(f"DROP TABLE {table}")
+
+    def _whole(self, df: DataFrame, first: Sequence[str]) -> int:
+        if not self.target.dialect.transactions:
+            raise ValueError(f"no transactions in: {self.target.dialect.name}")
+        q = self.target.dialect.quote
+        into, given = (", ".join(f"{q}{c}{q}" for c in names) for names in (self._names(df.columns), df.columns))
+        return self._through_staging(df, lambda staging: [*first, f"INSERT INTO {self.target.table} ({into}) SELECT {given} FROM {staging}"])
+
     def truncate(self) -> None:
         self._execute(truncate_sql(self.target))
 
-    def replace(self, df: DataFrame) -> int:
+    def replace(self, df: DataFrame, keep_if_empty: bool = False) -> int:
         self.failed = None
+        if keep_if_empty and df.isEmpty():
+            return 0
+        if self.transaction and self.exists():
+            return self._whole(df, [f"DELETE FROM {self.target.table}"])
         try:
             return self._write(df, "overwrite")
         except Exception:  # noqa: BLE001  whatever the driver raises
@@ -183,6 +335,8 @@ class JdbcSink:
 
     def append(self, df: DataFrame, keys: Sequence[str] | None = None) -> int:
         self.failed = None
+        if self.transaction and self.exists():
+            return self._whole(df, [])
         try:
             return self._write(df, "append")
         except Exception:  # noqa: BLE001
@@ -191,22 +345,34 @@ class JdbcSink:
             return self._row_wise(df, keys)
 
     def apply(self, changes: DataFrame, whole: DataFrame, keys: Sequence[str]) -> int:
-        """Bring the table to ``whole``, its merged state; ``changes`` are the rows that differ. Rows written."""
+        """Bring the rows that differ into the table; ``whole`` is its merged state. Rows written."""
         self.failed = None
-        if self.connect is not None:
+        d = self.target.dialect
+        if self.connect is not None and not self.transaction:
             return self._row_wise(changes, keys)
-        from lumbung.session import cut
-
-        return self.replace(cut(whole))
+        if self.transaction and not d.transactions:
+            raise ValueError(f"no transactions in: {d.name}")
+        if not d.transactions:  # rows are deleted and come back whole
+            changes = whole.join(changes.select(*(f"`{k}`" for k in keys)), list(keys), "left_semi")
+        changes = cut(changes)  # it reads the table that is written
+        return self._through_staging(changes, lambda staging: staged_sql(d.name, self.target.table, staging, changes.columns, self._names(changes.columns), keys))
+
+    def _is_there(self, table: str) -> bool:
+        try:
+            self._execute(f"SELECT 1 FROM {table} WHERE 1 = 0")
+        except Py4JJavaError as e:
+            cause = e.java_exception
+            while cause is not None:
+                if self.spark._jvm.java.lang.Class.forName("java.sql.SQLException").isInstance(cause) and self.target.dialect.is_missing(cause.getSQLState(), cause.getErrorCode(), str(cause.getMessage())):
+                    return False
+                cause = cause.getCause()
+            raise
+        return True
 
     def exists(self) -> bool:
-        """Whether the table can be selected from; a connection that fails raises."""
+        """Whether the table is there; anything but the database's own word that it isn't raises: rights, time-outs, locks."""
         self._execute(self.target.dialect.ping)
-        try:
-            self._execute(f"SELECT 1 FROM {self.target.table} WHERE 1 = 0")
-        except Py4JJavaError:
-            return False
-        return True
+        return self._is_there(self.target.table)
 
     def count(self) -> int:
         return count_rows(self.spark, self.target)
@@ -225,39 +391,70 @@ class RowsWritten:
     failed: DataFrame
 
 
-def _write_rows(connect: Callable[[], object], sql: str, rows: list[dict], error: str = "_error") -> Iterator[dict]:
-    """Write a batch; on failure in tenths (of ten rows at least), on failure row by row. Yields failed rows."""
-    try:
-        connection = connect()
-    except Exception as e:  # noqa: BLE001  whatever the driver raises
-        yield from ({**r, error: f"Connection error: {str(e)[:100]}"} for r in rows)
-        return
+class _Rows:
+    """Writes batches over one connection of a task, opened when needed and again after it broke."""
+
+    def __init__(self, connect: Callable[[], object], db_type: str, table: str, columns: Sequence[str], keys: Sequence[str] | None):
+        self.connect, self.args, self.columns = connect, (db_type, table, columns, keys), list(columns)
+        self.connection = None
 
-    def attempt(part: list[dict]) -> Exception | None:
+    def open(self) -> object:
+        if self.connection is None:
+            self.connection = self.connect()
+            module = sys.modules.get(type(self.connection).__module__.partition(".")[0])
+            self.sql, self.named = bound_sql(*self.args, getattr(module, "paramstyle", None) or "named")
+            self.plain = module is not None and module.__name__ == "sqlite3"
+        return self.connection
+
+    def close(self) -> None:
+        if self.connection is not None:
+            self.connection.close()
+            self.connection = None
+
+    def _values(self, row: dict) -> dict | tuple:
+        values = [row[c] for c in self.columns]
+        if self.plain:  # a driver without types of its own for times and decimals
+            values = [v.isoformat(" ") if isinstance(v, datetime) else v.isoformat() if isinstance(v, date) else str(v) if isinstance(v, Decimal) else v for v in values]
+        return {f"p{i}": v for i, v in enumerate(values)} if self.named else tuple(values)
+
+    def execute(self, rows: list[dict]) -> None:
+        connection = self.open()
+        # a driver that opens placeholders by the styles above takes either kind of values
         cursor = connection.cursor()
         try:
-            cursor.executemany(sql, part)
-            connection.commit()
-            return None
-        except Exception as e:  # noqa: BLE001
-            connection.rollback()
-            return e
+            cursor.executemany(self.sql, [self._values(r) for r in rows])
         finally:
             cursor.close()
 
-    try:
-        if attempt(rows) is None:
+    def attempt(self, rows: list[dict]) -> Exception | None:
+        try:
+            self.execute(rows)
+            self.connection.commit()
+            return None
+        except Exception as e:  # noqa: BLE001  whatever the driver raises
+            try:
+                self.connection.rollback()
+            except Exception:  # noqa: BLE001  the connection is gone: the next attempt opens another
+                self.connection = None
+            return e
+
+    def write(self, rows: list[dict], error: str = "_error") -> Iterator[dict]:
+        """Write a batch; on failure in tenths (of ten rows at least), on failure row by row. Yields failed rows."""
+        try:
+            self.open()
+        except Exception as e:  # noqa: BLE001
+            yield from ({**r, error: f"Connection error: {str(e)[:100]}"} for r in rows)
+            return
+        if self.attempt(rows) is None:
             return
         step = max(10, len(rows) // 10)
         for i in range(0, len(rows), step):
             part = rows[i : i + step]
-            if attempt(part) is None:
+            if self.attempt(part) is None:
                 continue
             for row in part:
-                if (e := attempt([row])) is not None:
+                if (e := self.attempt([row])) is not None:
                     yield {**row, error: str(e)[:200]}
-    finally:
-        connection.close()
 
 
 def write_rows(
@@ -265,47 +462,51 @@ def write_rows(
 ) -> RowsWritten:
     """Write ``df`` with one statement per row from the executors, and return what failed.
 
-    ``connect`` is called on executors and returns a DB-API connection. Upserts are idempotent, so a
-    repeated task changes nothing; a plain insert (no ``keys``) may repeat rows if a task is lost
-    after it committed. ``transaction`` writes everything from one task in one transaction and
-    raises if any row fails. An empty ``df`` gives zeros.
+    ``connect`` is called on executors, once per task, and returns a DB-API connection; parameters are
+    marked as its module's ``paramstyle`` says. Values are Python's own by the column's type: NaN stays
+    NaN, null is None. At most ``workers`` tasks write at a time; what ``df`` is made of runs in as many
+    as it has. Upserts are idempotent, so a repeated task changes nothing; a plain insert (no ``keys``) may
+    repeat rows if a task is lost after it committed. ``transaction`` writes everything from one task in
+    one transaction and raises if any row fails. An empty ``df`` gives zeros.
     """
-    from lumbung.session import cut
+    columns, schema = df.columns, df.schema
+    out = StructType([*schema.fields, StructField("_error", StringType()), StructField("_written", LongType())])
+    loose = StructType([StructField(f.name, f.dataType, True) for f in out])
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    sql = upsert_sql(db_type, table, df.columns, keys)
-    out = StructType([*df.schema.fields, StructField("_error", StringType()), StructField("_written", LongType())])
-    columns = df.columns
+    arrow = to_arrow_schema(loose)
 
-    def rows_of(pdf: pd.DataFrame) -> list[dict]:
-        return pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+    def told(failed: list[dict], written: int) -> pa.RecordBatch:
+        records = [{**f, "_written": None} for f in failed] + [{"_written": written}]
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in records], type=t) for n, t in zip(arrow.names, arrow.types)], schema=arrow)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if transaction:
-            connection = connect()
-            n = 0
-            try:
-                for pdf in batches:
-                    for i in range(0, len(pdf), batch_size):
-                        part = rows_of(pdf.iloc[i : i + batch_size])
-                        connection.cursor().executemany(sql, part)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(connect, db_type, table, columns, keys)
+        try:
+            if transaction:
+                n = 0
+                for batch in batches:
+                    for i in range(0, batch.num_rows, batch_size):
+                        part = batch.slice(i, batch_size).to_pylist()
+                        rows.execute(part)
                         n += len(part)
-                connection.commit()
-            except BaseException:
-                connection.rollback()
-                raise
-            finally:
-                connection.close()
-            yield pd.DataFrame([{**dict.fromkeys(columns), "_error": None, "_written": n}], columns=out.names)
-            return
-        for pdf in batches:
-            for i in range(0, len(pdf), batch_size):
-                part = rows_of(pdf.iloc[i : i + batch_size])
-                failed = list(_write_rows(connect, sql, part))
-                told = [{**f, "_written": None} for f in failed] + [{**dict.fromkeys(columns), "_error": None, "_written": len(part) - len(failed)}]
-                yield pd.DataFrame(told, columns=out.names, dtype=object)
+                if rows.connection is not None:
+                    rows.connection.commit()
+                yield told([], n)
+                return
+            for batch in batches:
+                for i in range(0, batch.num_rows, batch_size):
+                    part = batch.slice(i, batch_size).to_pylist()
+                    failed = list(rows.write(part))
+                    yield told(failed, len(part) - len(failed))
+        except BaseException:
+            if rows.connection is not None:
+                rows.connection.rollback()
+            raise
+        finally:
+            rows.close()
 
-    loose = StructType([StructField(f.name, f.dataType, True) for f in out])
-    told = cut(df.coalesce(1 if transaction else workers).mapInPandas(work, loose))
-    failed = told.where(F.col("_error").isNotNull()).drop("_written")
-    n = told.agg(F.coalesce(F.sum("_written"), F.lit(0)), F.count("_error")).first()
+    done = cut(df.repartition(1 if transaction else workers).mapInArrow(work, loose))
+    failed = done.where(F.col("_error").isNotNull()).drop("_written")
+    n = done.agg(F.coalesce(F.sum("_written"), F.lit(0)), F.count("_error")).first()
     return RowsWritten(int(n[0]), int(n[1]), failed)

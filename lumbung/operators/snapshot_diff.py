@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumbung.session import cut, shuffle_partitions
 
-BUCKET_KEYS, CELLS, GROWTH, LEVELS = 512, 384, 4, 8
+BUCKET_KEYS, CELLS, GROWTH, LEVELS = 512, 768, 4, 8
 #: Cells that a task holds at once, filled or not; one bucket's at least.
 CHUNK_CELLS = 1_000_000
 _SLICE = (1 << 21) - 1
@@ -112,16 +112,15 @@ def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = ~twice
             keep[twice] = ~known | ((some["order"] == latest) & ~some.duplicated())
             batch = batch.filter(pa.array(keep))
-        yield batch
+        yield batch.drop_columns(["digest"])
 
 
 def _elements(rows: DataFrame, partitions: int, values: Sequence[str], kinds: Mapping[str, str]) -> DataFrame:
     """``bucket, no, key, digest`` of the row of each key that holds in its delivery, partitioned by bucket."""
-    digested = rows.withColumn("digest", _digest(values, kinds))
-    fresh = digested.mapInArrow(_fresh, digested.schema).repartition(partitions, "bucket")
+    fresh = rows.withColumn("digest", _digest(values, kinds)).mapInArrow(_fresh, rows.schema).repartition(partitions, "bucket")
     # the partitioning by bucket serves this and all later groups of a bucket
-    held = fresh.groupBy("bucket", "no", "key").agg(F.max(F.struct("updated", *values, "digest")).alias("r"))
-    return held.select("bucket", "no", "key", F.col("r.digest").alias("digest"))
+    held = fresh.groupBy("bucket", "no", "key").agg(F.max(F.struct("updated", *values)).alias("r"))
+    return held.select("bucket", "no", "key", "r.*").select("bucket", "no", "key", _digest(values, kinds).alias("digest"))
 
 
 def _digest(values: Sequence[str], kinds: Mapping[str, str]) -> Column:

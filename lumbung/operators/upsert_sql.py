@@ -1,7 +1,7 @@
-"""Statements that insert or upsert one row, for five databases, with named parameters.
+"""Statements that insert or upsert: one row with parameters, or all rows of a staging table.
 
 Without key columns the statement is a plain insert. If every column is a key there is nothing to
-update, and the statement leaves an existing row alone.
+update, and the statement leaves an existing row alone. Each column is a parameter once, in order.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ _UPSERTS = {
 
 
 def upsert_sql(db_type: str, table: str, columns: Sequence[str], keys: Sequence[str] | None = None) -> str:
-    """ValueError if the database has no upsert here, or a key isn't among the columns."""
+    """ValueError if the database has no upsert of one row, or a key isn't among the columns. Parameters are named like columns."""
     name = db_type.lower()
     if not keys:
         return _insert(table, columns, "`" if name in ("mysql", "mariadb") else '"')
@@ -62,3 +62,50 @@ def upsert_sql(db_type: str, table: str, columns: Sequence[str], keys: Sequence[
     if dialect(name).name not in _UPSERTS:
         raise ValueError(f"no upsert for: {db_type}")
     return _UPSERTS[name](table, columns, keys, [c for c in columns if c not in keys])
+
+
+#: How drivers mark the parameter of a place and name it in the values they are given (PEP 249).
+_STYLES: dict[str, Callable[[int], str]] = {
+    "named": lambda i: f":p{i}",
+    "pyformat": lambda i: f"%(p{i})s",
+    "qmark": lambda i: "?",
+    "format": lambda i: "%s",
+    "numeric": lambda i: f":{i + 1}",
+}
+
+
+def bound_sql(db_type: str, table: str, columns: Sequence[str], keys: Sequence[str] | None, style: str) -> tuple[str, bool]:
+    """``upsert_sql`` with the parameters of a driver's ``paramstyle``, and whether it takes values by name (``p0``, ``p1``…)."""
+    if style not in _STYLES:
+        raise ValueError(f"unknown parameter style: {style}")
+    marks = [f"\x00{i}\x00" for i in range(len(columns))]
+    sql = upsert_sql(db_type, table, columns, keys)
+    for mark, column in sorted(zip(marks, columns), key=lambda x: -len(x[1])):  # no name that begins another goes first
+        sql = sql.replace(f":{column}", mark)
+    if style in ("pyformat", "format"):
+        sql = sql.replace("%", "%%")
+    for i, mark in enumerate(marks):
+        sql = sql.replace(mark, _STYLES[style](i))
+    return sql, style in ("named", "pyformat")
+
+
+def staged_sql(db_type: str, table: str, staging: str, columns: Sequence[str], names: Sequence[str], keys: Sequence[str]) -> list[str]:
+    """Statements that bring the rows of ``staging`` into ``table`` by key; ``names`` are the table's names of ``columns``.
+
+    Rows that are there are updated in the given columns, others inserted. A database without
+    transactions gets whole rows: the old ones are deleted first.
+    """
+    d = dialect(db_type)
+    q = lambda c: f"{d.quote}{c}{d.quote}"
+    of = dict(zip(columns, names))
+    into, given = ", ".join(q(of[c]) for c in columns), ", ".join(f"s.{q(c)}" for c in columns)
+    if not d.transactions:
+        there, here = ", ".join(q(of[k]) for k in keys), ", ".join(q(k) for k in keys)
+        return [f"ALTER TABLE {table} DELETE WHERE ({there}) IN (SELECT {here} FROM {staging}) SETTINGS mutations_sync = 2", f"INSERT INTO {table} ({into}) SELECT {given} FROM {staging} s"]
+    same = " AND ".join(f"{table}.{q(of[k])} = s.{q(k)}" for k in keys)
+    rest = [c for c in columns if c not in keys]
+    insert = f"INSERT INTO {table} ({into}) SELECT {given} FROM {staging} s WHERE NOT EXISTS (SELECT 1 FROM {table} WHERE {same})"
+    if not rest:
+        return [insert]
+    values = ", ".join(f"{q(of[c])} = (SELECT s.{q(c)} FROM {staging} s WHERE {same})" for c in rest)
+    return [f"UPDATE {table} SET {values} WHERE EXISTS (SELECT 1 FROM {staging} s WHERE {same})", insert]

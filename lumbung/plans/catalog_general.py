@@ -86,7 +86,8 @@ HAVING COUNT(*) > {HEAVY_SHARE} * (SELECT COUNT(*) FROM fact_stock_snapshot)"""
 
 P2_KEY_TOTALS_SQL = f"""WITH {_KEYED_SQL}
 SELECT in_field, CAST(key_id AS BIGINT) AS key_id, COUNT(*) AS n_rows, COUNT(*) FILTER (isfinite(q)) AS n_values,
-  ROUND(CAST(SUM(CASE WHEN isfinite(q) AND abs(q) < 1e22 THEN CAST(q AS DECIMAL(28, 6)) END) AS DOUBLE), 3) AS sum_quantity,
+  ROUND(CASE WHEN COUNT(*) FILTER (isfinite(q)) > 0 THEN COALESCE(CAST(SUM(CASE WHEN isfinite(q) AND abs(q) < 1e22 THEN CAST(q AS DECIMAL(28, 6)) END) AS DOUBLE), 0)
+    + COALESCE(SUM(CASE WHEN isfinite(q) AND abs(q) >= 1e22 THEN q END), 0) END, 3) AS sum_quantity,
   MIN(u) AS first_update, MAX(u) AS last_update, ROUND(COUNT(*) * 1.0::DOUBLE / (SELECT COUNT(*) FROM fact_stock_snapshot), 9) AS share
 FROM keyed GROUP BY in_field, key_id"""
 

@@ -91,7 +91,8 @@ def built_mart(spark: SparkSession, d: str) -> Tables:
     return Tables(spark, None, {name: builders.build(name, spark, t) for name in ("dim_date", *builders.BUILDERS)})
 
 
-_ETL_RANGE = dash.Params(date(1996, 1, 1), date(1999, 12, 31))
+#: The whole time that the operational tables span, and the calendar's, which the delivered mart lies in.
+_ETL_RANGE = dash.Params(date(1990, 1, 1), date(2030, 12, 31))
 
 
 def etl_total_stock(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +107,7 @@ def etl_stock_by_material(spark: SparkSession, d: str) -> DataFrame:
     return dash.stock_by_material(built_mart(spark, d), _ETL_RANGE)
 
 
-_IN_RANGE = "stock_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"
+_IN_RANGE = "stock_date BETWEEN DATE '1990-01-01' AND DATE '2030-12-31'"
 _BUILT_FACT = f"(SELECT * FROM ({_FACT_SELECT}) WHERE {_IN_RANGE}) f"
 _register("etl_total_stock", etl_total_stock, with_sources(f"SELECT coalesce(sum(stock_quantity), 0) AS total_stock FROM {_BUILT_FACT}", *_FACT_SOURCES))
 _register("etl_stock_by_tag", etl_stock_by_tag, with_sources(
@@ -120,9 +121,10 @@ FROM {_BUILT_FACT} JOIN master_materials m ON m.id = f.material_id WHERE m.delet
 
 # --- dashboards on the delivered mart -------------------------------------------------------------
 
-_ALL = dash.Params(date(2023, 7, 1), date(2024, 6, 30))
+_ALL = dash.Params(date(2020, 1, 1), date(2030, 12, 31))
 _VARIANTS: dict[str, dict[str, object]] = {
     "all": {},
+    "year": {"date_from": date(2023, 7, 1), "date_to": date(2024, 6, 30)},
     "activity": {"activity_id": 3},
     "material_type": {"material_type": "Vaccine"},
     "material": {"material_id": 16},
@@ -133,7 +135,9 @@ _VARIANTS: dict[str, dict[str, object]] = {
     "combo": {"activity_id": 3, "material_type": "Vaccine", "tag_id": 5, "province_id": "24"},
     "empty": {"date_from": date(2031, 1, 1), "date_to": date(2031, 12, 31)},
 }
-_FINITE_SUM = "CAST(sum(CASE WHEN isfinite(f.stock_quantity) AND abs(f.stock_quantity) < 1e22 THEN CAST(f.stock_quantity AS DECIMAL(28, 6)) END) AS DOUBLE)"
+#: Decimals where they reach, doubles beyond; null without a finite value.
+_FINITE_SUM = """CASE WHEN count(*) FILTER (isfinite(f.stock_quantity)) > 0 THEN coalesce(CAST(sum(CASE WHEN isfinite(f.stock_quantity) AND abs(f.stock_quantity) < 1e22 THEN CAST(f.stock_quantity AS DECIMAL(28, 6)) END) AS DOUBLE), 0)
+  + coalesce(sum(CASE WHEN isfinite(f.stock_quantity) AND abs(f.stock_quantity) >= 1e22 THEN f.stock_quantity END), 0) END"""
 
 
 def _where_sql(p: dash.Params, tag: str) -> str:
@@ -359,12 +363,12 @@ def _database(spark: SparkSession, d: str, table: str, *columns: str) -> JdbcSin
 
 def source_jdbc_query(spark: SparkSession, d: str) -> DataFrame:
     sink = _database(spark, d, "dim_material", "material_id", "is_vaccine")
-    return jdbc.read_query(spark, sink.target, 'SELECT "is_vaccine", COUNT(*) AS "n_rows" FROM DIM_MATERIAL WHERE "material_id" > 10 GROUP BY "is_vaccine"').withColumn("n_rows", F.col("n_rows").cast("long"))
+    return jdbc.read_query(spark, sink.target, 'SELECT "is_vaccine", COUNT(*) AS "n_rows" FROM DIM_MATERIAL GROUP BY "is_vaccine"').withColumn("n_rows", F.col("n_rows").cast("long"))
 
 
 def source_jdbc_split(spark: SparkSession, d: str) -> DataFrame:
     sink = _database(spark, d, "dim_material", "material_id", "category")
-    return jdbc.read_query(spark, sink.target, 'SELECT "material_id", "category" FROM DIM_MATERIAL', jdbc.Split("material_id", 0, 300, 4)).where("material_id > 20")
+    return jdbc.read_query(spark, sink.target, 'SELECT "material_id", "category" FROM DIM_MATERIAL', jdbc.split_of(spark, sink.target, "material_id", 4))
 
 
 def source_jdbc_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -388,8 +392,8 @@ def sink_jdbc_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 for _q, _sql in (
-    (source_jdbc_query, "SELECT is_vaccine, count(*) AS n_rows FROM dim_material WHERE material_id > 10 GROUP BY is_vaccine"),
-    (source_jdbc_split, "SELECT material_id, category FROM dim_material WHERE material_id > 20"),
+    (source_jdbc_query, "SELECT is_vaccine, count(*) AS n_rows FROM dim_material GROUP BY is_vaccine"),
+    (source_jdbc_split, "SELECT material_id, category FROM dim_material"),
     (source_jdbc_keys, "SELECT DISTINCT entity_id, tag_id FROM bridge_entity_tag"),
     (source_jdbc_columns, "SELECT tag_name FROM dim_entity_tag"),
     (source_jdbc_count, "SELECT count(*) AS n_rows FROM dim_activity"),

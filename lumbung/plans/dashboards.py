@@ -81,8 +81,7 @@ def total_stock(mart: Mapping[str, DataFrame], p: Params) -> DataFrame:
 
 def _stock_per_entity(rows: DataFrame, *more: str) -> DataFrame:
     """Partial sums per entity: a join to tags then multiplies entities, not fact rows."""
-    qty = F.when(fn.is_finite("stock_quantity") & (F.abs("stock_quantity") < 1e22), F.col("stock_quantity")).cast("decimal(28,6)")
-    return rows.groupBy("entity_id", *more).agg(F.sum(qty).alias("qty"))
+    return rows.groupBy("entity_id", *more).agg(F.sum(fn.exact_part("stock_quantity")).alias("qty"), F.sum(fn.rest_part("stock_quantity")).alias("rest"))
 
 
 def stock_by_tag(mart: Mapping[str, DataFrame], p: Params) -> DataFrame:
@@ -101,7 +100,7 @@ def stock_by_tag(mart: Mapping[str, DataFrame], p: Params) -> DataFrame:
         .join(tags, "entity_id")
         .join(mart["dim_entity_tag"].select("tag_id", "tag_name"), "tag_id")
         .groupBy("tag_id", "tag_name")
-        .agg(F.count("*").alias("entity_count"), F.sum((F.col("qty") * F.col("times")).cast("decimal(38,6)")).cast("double").alias("total_stock"))
+        .agg(F.count("*").alias("entity_count"), fn.sum_of_parts(F.sum((F.col("qty") * F.col("times")).cast("decimal(38,6)")), F.sum(F.col("rest") * F.col("times"))).alias("total_stock"))
         .orderBy(F.desc_nulls_last("total_stock"), F.asc_nulls_last("tag_name"), "tag_id")
     )
 
@@ -116,7 +115,7 @@ def stock_by_material(mart: Mapping[str, DataFrame], p: Params) -> DataFrame:
     materials = mart["dim_material"].select("material_id", "material_name", "category", "is_vaccine")
     if p.material_type is not None:
         materials = materials.where(F.col("category") == p.material_type)
-    per_material = _stock_per_entity(facts, "material_id").groupBy("material_id").agg(F.count("entity_id").alias("entity_count"), F.sum("qty").cast("double").alias("total_stock"))
+    per_material = _stock_per_entity(facts, "material_id").groupBy("material_id").agg(F.count("entity_id").alias("entity_count"), fn.sum_of_parts(F.sum("qty"), F.sum("rest")).alias("total_stock"))
     return (
         per_material.join(materials, "material_id")
         .select("material_id", "material_name", "category", "is_vaccine", "entity_count", "total_stock")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +24,7 @@ def local_session(cpus: int | str = "*", app: str = "lumbung", memory: str = "8g
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
@@ -31,18 +36,29 @@ def local_session(cpus: int | str = "*", app: str = "lumbung", memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests on one machine) a local folder is made and set.
+    Only on one machine (a ``local`` master), where the setting is absent, a local folder is made, set,
+    and deleted at the end; on a cluster without the setting this raises RuntimeError.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumbung-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return named or current
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if named is None:
+            folder = tempfile.mkdtemp(prefix="lumbung-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.setCheckpointDir(folder)
+        else:
+            sc.setCheckpointDir(named)
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that loops don't grow the plan."""
+    """``df`` computed once and kept in the shared folder, so that loops don't grow the plan.
+
+    The files go when the session's cleaner finds the plan unused (``local_session`` sets that up; a
+    cluster does by ``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -90,6 +106,27 @@ def input_partitions(df: DataFrame) -> int:
     return max(1, -(-size // spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))))
 
 
+def rows_written(spark: SparkSession, write: Callable[[], None]) -> int:
+    """Run a write and return the rows that its tasks say they wrote; no second run of the plan."""
+    sc = spark.sparkContext
+    before, group = sc.getLocalProperty("spark.jobGroup.id"), f"write-{uuid.uuid4().hex}"
+    sc.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        write()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", before)
+    inner = sc._jsc.sc()
+    inner.listenerBus().waitUntilEmpty(60_000)
+    tracker, n = sc.statusTracker(), 0
+    for job in tracker.getJobIdsForGroup(group):
+        for stage in tracker.getJobInfo(job).stageIds:
+            try:
+                n += inner.statusStore().lastStageAttempt(stage).outputRecords()
+            except Py4JJavaError:  # a stage that was skipped
+                continue
+    return n
+
+
 _shipped: set[str] = set()
 
 

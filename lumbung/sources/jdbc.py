@@ -16,7 +16,8 @@ class Dialect:
 
     ``url`` builds a JDBC URL; ``scheme`` recognises one; ``sql_url`` is the scheme and suffix of a
     URL for executor-side Python drivers; ``truncate`` is the statement that empties a table and
-    ``ping`` one that any session may run.
+    ``ping`` one that any session may run. ``missing`` are the SQL states and error codes by which it
+    tells that a table isn't there; ``create`` goes behind the columns of a new table.
     """
 
     name: str
@@ -27,19 +28,25 @@ class Dialect:
     quote: str = '"'
     truncate: str = "TRUNCATE TABLE {table}"
     ping: str = "SELECT 1"
+    missing: tuple[str | int, ...] = ()
+    transactions: bool = True
+    create: str = ""
+
+    def is_missing(self, state: str | None, code: int, message: str) -> bool:
+        return state in self.missing or code in self.missing or (self.name == "sqlite" and "no such table" in message)
 
 
 # URL forms, driver classes and URL options that connections need.
 DIALECTS: dict[str, Dialect] = {
     d.name: d
     for d in (
-        Dialect("postgres", "postgresql", lambda h, p, d: f"jdbc:postgresql://{h}:{p}/{d}", "org.postgresql.Driver", ("postgresql+psycopg2", ""), truncate="TRUNCATE TABLE {table} CASCADE"),
-        Dialect("mssql", "sqlserver", lambda h, p, d: f"jdbc:sqlserver://{h}:{p};databaseName={d};encrypt=true;trustServerCertificate=true;", "com.microsoft.sqlserver.jdbc.SQLServerDriver", ("mssql+pyodbc", "?driver=ODBC+Driver+17+for+SQL+Server&TrustServerCertificate=yes")),
-        Dialect("mysql", "mysql", lambda h, p, d: f"jdbc:mysql://{h}:{p}/{d}", "com.mysql.cj.jdbc.Driver", ("mysql+pymysql", ""), quote="`"),
-        Dialect("mariadb", "mariadb", lambda h, p, d: f"jdbc:mariadb://{h}:{p}/{d}", "org.mariadb.jdbc.Driver", ("mariadb+pymysql", ""), quote="`"),
-        Dialect("oracle", "oracle", lambda h, p, d: f"jdbc:oracle:thin:@{h}:{p}/{d}", "oracle.jdbc.OracleDriver", ("oracle+cx_oracle", ""), truncate="TRUNCATE TABLE {table} CASCADE", ping="SELECT 1 FROM DUAL"),
-        Dialect("clickhouse", "clickhouse", lambda h, p, d: f"jdbc:clickhouse://{h}:{p}/{d}", "com.clickhouse.jdbc.ClickHouseDriver", quote="`", truncate="TRUNCATE TABLE {table}"),
-        Dialect("derby", "derby", lambda h, p, d: f"jdbc:derby:memory:{d};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver", ping="VALUES 1"),
+        Dialect("postgres", "postgresql", lambda h, p, d: f"jdbc:postgresql://{h}:{p}/{d}", "org.postgresql.Driver", ("postgresql+psycopg2", ""), truncate="TRUNCATE TABLE {table} CASCADE", missing=("42P01",)),
+        Dialect("mssql", "sqlserver", lambda h, p, d: f"jdbc:sqlserver://{h}:{p};databaseName={d};encrypt=true;trustServerCertificate=true;", "com.microsoft.sqlserver.jdbc.SQLServerDriver", ("mssql+pyodbc", "?driver=ODBC+Driver+17+for+SQL+Server&TrustServerCertificate=yes"), missing=("S0002", 208)),
+        Dialect("mysql", "mysql", lambda h, p, d: f"jdbc:mysql://{h}:{p}/{d}", "com.mysql.cj.jdbc.Driver", ("mysql+pymysql", ""), quote="`", missing=("42S02", 1146)),
+        Dialect("mariadb", "mariadb", lambda h, p, d: f"jdbc:mariadb://{h}:{p}/{d}", "org.mariadb.jdbc.Driver", ("mariadb+pymysql", ""), quote="`", missing=("42S02", 1146)),
+        Dialect("oracle", "oracle", lambda h, p, d: f"jdbc:oracle:thin:@{h}:{p}/{d}", "oracle.jdbc.OracleDriver", ("oracle+cx_oracle", ""), truncate="TRUNCATE TABLE {table} CASCADE", ping="SELECT 1 FROM DUAL", missing=(942,)),
+        Dialect("clickhouse", "clickhouse", lambda h, p, d: f"jdbc:clickhouse://{h}:{p}/{d}", "com.clickhouse.jdbc.ClickHouseDriver", quote="`", truncate="TRUNCATE TABLE {table}", missing=(60,), transactions=False, create="ENGINE = MergeTree ORDER BY tuple()"),
+        Dialect("derby", "derby", lambda h, p, d: f"jdbc:derby:memory:{d};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver", ping="VALUES 1", missing=("42X05", "42Y07")),
         Dialect("sqlite", "sqlite", lambda h, p, d: f"jdbc:sqlite:{d}", "org.sqlite.JDBC", truncate="DELETE FROM {table}"),
     )
 }
@@ -123,6 +130,13 @@ class Split:
     partitions: int
 
 
+def split_of(spark: SparkSession, target: Target, column: str, partitions: int) -> Split | None:
+    """Equal ranges of a column of the target, between its least and greatest value; None for an empty table or a column of nulls."""
+    c = quoted(target, [column])
+    low, high = read_query(spark, target, f"SELECT MIN({c}) AS low, MAX({c}) AS high FROM {target.table}").first()
+    return None if low is None or partitions < 2 else Split(column, low, high, partitions)
+
+
 def read_query(spark: SparkSession, target: Target, sql: str, split: Split | None = None, fetch_size: int = 10_000) -> DataFrame:
     """The result of ``sql``, evaluated in the database, as a lazy scan.
 

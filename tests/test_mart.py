@@ -29,8 +29,15 @@ def test_date_key_and_finite(spark):
 
 
 def test_exact_sum_ignores_what_is_no_number(spark):
-    df = spark.createDataFrame([(0.1,), (0.2,), (float("nan"),), (float("inf"),), (1e30,), (None,)], "x double")
+    df = spark.createDataFrame([(0.1,), (0.2,), (float("nan"),), (float("inf"),), (None,)], "x double")
     assert df.agg(fn.exact_sum("x")).first()[0] == 0.3
+
+
+def test_sums_leave_out_no_finite_value(spark):
+    total = lambda *values: spark.createDataFrame([(v,) for v in values], "x double").agg(fn.exact_sum("x")).first()[0]
+    assert total(1e30, 0.1, 0.2) == 1e30 and total(1e22) == 1e22 and total(-1e300, 1.0) == -1e300
+    assert total(1e-9, 2e-9) == pytest.approx(3e-9) and total(0.1234567891, 1.0) == pytest.approx(1.1234567891, abs=1e-15)
+    assert total(float("nan"), None) is None and total() is None
     assert df.where("false").agg(fn.exact_sum("x")).first()[0] is None
 
 

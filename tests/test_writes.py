@@ -102,6 +102,46 @@ def test_properties_of_upserts(spark, tmp_path):
         assert again.processed == 0 and again.count_after == again.count_before
 
 
+def test_upsert_rewrites_touched_files_only(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "id AS v", "id % 4 AS part", "'k' AS kept").repartitionByRange(8, "id")
+    for by in (None, "part"):
+        sink = ParquetSink(spark, f"{tmp_path}/t{by}", partition_by=by)
+        sink.replace(df)
+        files = lambda: {x[0] for x in sink.read().select("_metadata.file_path").distinct().collect()}  # noqa: B023, E731
+        before = files()
+        changed = spark.createDataFrame([(4, 40, 0), (2000, 1, 0), (None, 5, 0)], "id int, v int, part int")
+        stats = run_method(changed, sink, "upsert", ["id"])
+        assert (stats.inserted, stats.updated, stats.skipped, stats.count_after, sink.count()) == (2, 1, 0, 1002, 1002)
+        assert len(before - files()) == 1 and len(before & files()) == len(before) - 1
+        assert rows(sink.read().where("id = 4 OR id >= 1000 OR id IS NULL").select("id", "v", "part", "kept")) == sorted([(4, 40, 0, "k"), (2000, 1, 0, None), (None, 5, 0, None)], key=repr)
+        assert dict(sink.read().dtypes)["v"] == "bigint" and run_method(changed.where("id > 0"), sink, "upsert", ["id"]).skipped == 2
+        moved = run_method(spark.createDataFrame([(4, 40, 3)], "id int, v int, part int"), sink, "upsert", ["id"])
+        assert moved.updated == 1 and sink.count() == 1002 and sink.read().where("id = 4").first()["part"] == 3
+    assert not [p for p in tmp_path.iterdir() if "journal" in p.name or "staging" in p.name]
+
+
+def test_interrupted_upsert_is_finished(spark, tmp_path, monkeypatch):
+    sink = ParquetSink(spark, f"{tmp_path}/t")
+    sink.replace(spark.range(10).selectExpr("id", "0 AS v").repartition(3))
+
+    def dies(self):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(ParquetSink, "_finish", dies)
+        with pytest.raises(KeyboardInterrupt):
+            sink.upsert(spark.createDataFrame([(1, 5), (77, 5)], "id long, v int"), ["id"])
+    assert sink.count() == 11 and rows(sink.read().where("v = 5")) == [(1, 5), (77, 5)] and len(list(tmp_path.iterdir())) == 1
+
+
+def test_hashes_tell_nulls_and_order_apart(spark):
+    data = [(None, "a"), ("a", None), ("a", "a"), ("aa", ""), ("", "aa"), (None, None), (None, ""), ("", None)]
+    df = spark.createDataFrame(data, "a string, b string")
+    assert df.select(*merge.row_hashes([F.col("a"), F.col("b")])).distinct().count() == len(data)
+    zero = spark.createDataFrame([(0.0,), (-0.0,)], "a double")
+    assert zero.select(*merge.row_hashes([F.col("a")])).distinct().count() == 1
+
+
 # --- write methods and the staged sink -------------------------------------------------------------
 
 
@@ -258,6 +298,62 @@ def test_overwrite_keeps_the_declared_schema(spark):
         JdbcSink(spark, jdbc.Target("jdbc:derby:memory:nosuch", "T")).exists()
 
 
+def test_a_probe_that_fails_is_no_missing_table(spark):
+    sink = JdbcSink(spark, jdbc.Target(jdbc.jdbc_url("derby", "", 0, "rights"), "T"), partitions=1)
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    sink.replace(df)
+
+    class Locked(JdbcSink):
+        def _is_there(self, table):
+            return super()._is_there(f"{table} WITH NOTHING")  # a statement that the database refuses for another reason
+
+    locked = Locked(spark, sink.target, partitions=1)
+    with pytest.raises(Exception, match="Syntax|syntax"):
+        run_method(df, locked, "overwrite")
+    assert sink.count() == 2
+    d = jdbc.DIALECTS
+    assert d["postgres"].is_missing("42P01", 0, "") and d["mssql"].is_missing("x", 208, "") and not d["mysql"].is_missing("42000", 1142, "denied") and d["sqlite"].is_missing(None, 1, "no such table: t")
+
+
+def test_all_or_nothing_on_a_database(spark):
+    sink = JdbcSink(spark, jdbc.Target(jdbc.jdbc_url("derby", "", 0, "whole"), "T"), partitions=2)
+    sink._execute('CREATE TABLE T ("id" INT NOT NULL PRIMARY KEY, "v" VARCHAR(5), "kept" INT)')
+    df = spark.createDataFrame([(i, "a") for i in range(20)], "id int, v string")
+    assert run_method(df, sink, "append", transaction=True, batch_size=3, partitions=1).inserted == 20 and sink.transaction is False
+    sink._execute('UPDATE T SET "kept" = 7')
+    bad = df.union(spark.createDataFrame([(99, "too long")], df.schema))
+    for method, keys in (("append", None), ("overwrite", None), ("truncate", None), ("upsert", ["id"])):
+        with pytest.raises(Exception):
+            run_method(bad, sink, method, keys, transaction=True)
+        assert sink.count() == 20 and sink.read().where('"kept" = 7' if False else "kept = 7").count() == 20
+    stats = run_method(spark.createDataFrame([(3, "b"), (50, "n")], df.schema), sink, "upsert", ["id"])
+    assert (stats.inserted, stats.updated, sink.count()) == (1, 1, 21)
+    assert rows(sink.read().where("id IN (3, 50)")) == [(3, "b", 7), (50, "n", None)]  # columns that the source lacks stay
+    assert run_method(df.limit(5), sink, "overwrite", transaction=True).inserted == 5 and sink.count() == 5
+    with pytest.raises(ValueError, match="unknown options"):
+        run_method(df, sink, "append", colour=1)
+
+
+def test_statements_from_a_staging_table():
+    from lumbung.operators.upsert_sql import staged_sql
+
+    update, insert = staged_sql("postgres", "t", "s1", ["id", "v"], ["id", "V"], ["id"])
+    assert update == 'UPDATE t SET "V" = (SELECT s."v" FROM s1 s WHERE t."id" = s."id") WHERE EXISTS (SELECT 1 FROM s1 s WHERE t."id" = s."id")'
+    assert insert == 'INSERT INTO t ("id", "V") SELECT s."id", s."v" FROM s1 s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t."id" = s."id")'
+    assert staged_sql("mysql", "t", "s1", ["id"], ["id"], ["id"]) == ["INSERT INTO t (`id`) SELECT s.`id` FROM s1 s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.`id` = s.`id`)"]
+    delete, insert = staged_sql("clickhouse", "t", "s1", ["id", "v"], ["id", "v"], ["id"])
+    assert delete.startswith("ALTER TABLE t DELETE WHERE (`id`) IN (SELECT `id` FROM s1)") and insert == "INSERT INTO t (`id`, `v`) SELECT s.`id`, s.`v` FROM s1 s"
+
+
+@pytest.mark.parametrize("style,expected", [("named", ":p0, :p1"), ("pyformat", "%(p0)s, %(p1)s"), ("qmark", "?, ?"), ("format", "%s, %s"), ("numeric", ":1, :2")])
+def test_parameter_styles_of_drivers(style, expected):
+    from lumbung.operators.upsert_sql import bound_sql
+
+    sql, named = bound_sql("postgres", "t", ["id", "id2"], ["id"], style)
+    assert sql == f'INSERT INTO t ("id", "id2") VALUES ({expected}) ON CONFLICT ("id") DO UPDATE SET "id2" = EXCLUDED."id2"' and named == (style in ("named", "pyformat"))
+    assert bound_sql("mssql", "t", ["a%", "b"], ["b"], style)[0].count('"a%%"' if style in ("pyformat", "format") else '"a%"') > 0
+
+
 class _SqliteSink(JdbcSink):
     """A sink whose native writer always fails, over a database that only a Python driver reaches."""
 
@@ -318,6 +414,13 @@ def test_rows_over_a_driver(spark, tmp_path):
         assert c.execute("SELECT count(*) FROM t").fetchone() == (98,)
     assert write_rows(df.where("id < 0"), connect, "sqlite", "t").success == 0
 
+    kinds = spark.sql("SELECT 1 AS id, DATE '2024-01-02' AS d, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS t, CAST(1.50 AS DECIMAL(9, 2)) AS m, DOUBLE('NaN') AS f, CAST(NULL AS DOUBLE) AS g, 9007199254740993 AS n")
+    with sqlite3.connect(path) as c:
+        c.execute('CREATE TABLE k ("id" INTEGER, "d" TEXT, "t" TEXT, "m" TEXT, "f", "g", "n" INTEGER)')
+    assert write_rows(kinds, connect, "sqlite", "k").success == 1
+    with sqlite3.connect(path) as c:  # the database itself keeps NaN as null
+        assert c.execute("SELECT * FROM k").fetchone() == (1, "2024-01-02", "2024-01-02 03:04:05", "1.50", None, None, 9007199254740993)
+
     def broken():
         raise OSError("no route")
 
