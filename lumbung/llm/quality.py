@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,8 @@ ENTRY_WORDS, BULLET_WORDS, PART_WORDS = 4, 12, 4
 #: Share of words that no language spells like this, and of common words that inline lists stay under,
 #: with commas and with semicolons.
 UNSPOKEN, COMMA_COMMON, SEMICOLON_COMMON = 0.25, 0.12, 0.34
-#: Lengths of n-grams.
-NGRAMS = (2, 3, 4)
+#: Lengths of n-grams, and words of texts that are counted together; a longer text is alone.
+NGRAMS, CHUNK_WORDS = (2, 3, 4), 300_000
 
 _LINES = re.compile(r"\r\n|\r|\n")
 _PARAGRAPHS = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")
@@ -171,52 +172,79 @@ def _unwrap(text: str) -> list[tuple[str, str | None]]:
     return out
 
 
-def ngram_cover(words: list[str]) -> tuple[float, ...]:
-    """For each length in ``NGRAMS``, the share of the characters of all words that the most frequent n-gram covers.
+@dataclass(frozen=True)
+class WordStatistics:
+    """Of some texts: words, characters in them, share of common words, covers by the most frequent n-gram per length, and
+    the share of characters in shortest ``RECURRING`` n-grams that occur ``COPIES`` times."""
+
+    n: np.ndarray
+    characters: np.ndarray
+    common: np.ndarray
+    covers: np.ndarray
+    recurring: np.ndarray
+
+
+def word_statistics(texts: Sequence[list[str]], common: frozenset[str]) -> WordStatistics:
+    """Statistics of texts given as words, counted for all texts at once.
 
-    The first of equally frequent n-grams counts; one that occurs less than three times counts as 0.
     An n-gram can't occur more often than the shorter ones in it, so longer ones are counted only
-    where those occur three times; this leaves none out.
-    """
-    return _cover_and_recurring(words)[0]
-
-
-def _cover_and_recurring(words: list[str]) -> tuple[tuple[float, ...], float]:
-    """``ngram_cover``, and the share of the characters in shortest ``RECURRING`` n-grams that occur ``COPIES`` times."""
-    out = [0.0] * len(NGRAMS)
-    total = sum(map(len, words))
-    starts: Iterable[int] = range(len(words))
-    for k, n in enumerate(NGRAMS):
-        starts, grams = _frequent(words, n, starts, n - (NGRAMS[k - 1] if k else 1), 3)
-        if not grams:
-            return tuple(out), 0.0
-        gram = max(grams, key=grams.__getitem__)
-        out[k] = min(1.0, grams[gram] * sum(map(len, gram)) / total)
-    n = RECURRING[0][0]
-    starts, _ = _frequent(words, n, starts, n - NGRAMS[-1], COPIES)
-    recurring = {j for i in starts for j in range(i, i + n)}
-    return tuple(out), sum(len(words[j]) for j in recurring) / total
-
-
-def _frequent(words: list[str], n: int, starts: Iterable[int], more: int, least: float) -> tuple[list[int], Counter[tuple[str, ...]]]:
-    """Where n-grams that occur ``least`` times begin, in order, and their counts.
-
-    ``starts`` are the places where n-grams shorter by ``more`` words occur as often.
+    where those occur three times; this leaves none out. The first of equally frequent n-grams counts;
+    one that occurs less than three times covers nothing.
     """
-    if len(words) < n:
-        return [], Counter()
-    if isinstance(starts, range):
-        counts = Counter(zip(*(words[i:] for i in range(n))))
-        if max(counts.values()) < least:
-            return [], Counter()
-        found = [i for i, gram in enumerate(zip(*(words[i:] for i in range(n)))) if counts[gram] >= least]
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    doc = np.repeat(np.arange(len(texts)), n)
+    code, values = pd.factorize(np.fromiter((w for words in texts for w in words), object, int(n.sum())))
+    code = code.astype(np.int64)
+    size = np.fromiter(map(len, values), np.int64, len(values))[code]
+    known = np.fromiter(map(common.__contains__, values), bool, len(values))[code]
+    per = lambda x: np.bincount(doc, x, len(texts))
+    characters = per(size)
+    at_least = np.maximum(characters, 1)
+    upto = np.r_[0, np.cumsum(size)]
+    covers, recurring = np.zeros((len(texts), len(NGRAMS))), np.zeros(len(texts))
+    starts, gram, length = np.arange(len(code)), code, 1
+
+    def longer(to: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places where n-grams of ``to`` words that occur ``least`` times in their text begin, their numbers and counts."""
+        held = np.zeros(len(code) + to, bool)
+        held[starts] = True
+        tried = starts + to <= len(code)
+        for j in range(1, to - length + 1):
+            tried &= held[starts + j]
+        at, own = starts[tried], gram[tried]
+        inside = doc[at] == doc[at + to - 1]
+        at, own = at[inside], own[inside]
+        # shorter n-grams have numbers of their own in each text, but for single words
+        key = own if length > 1 else doc[at] * len(values) + own
+        for j in range(length, to):
+            key = pd.factorize(key)[0].astype(np.int64) * len(values) + code[at + j]
+        number = pd.factorize(key)[0].astype(np.int64)
+        times = np.bincount(number)[number] if len(number) else number
+        often = times >= least
+        return at[often], number[often], times[often]
+
+    for k, to in enumerate(NGRAMS):
+        starts, gram, times = longer(to, 3)
+        length = to
+        if not len(starts):
+            break
+        order = np.lexsort((starts, -times, doc[starts]))
+        of = doc[starts][order]
+        best = order[np.r_[True, of[1:] != of[:-1]]]
+        covers[doc[starts[best]], k] = np.minimum(1.0, times[best] * (upto[starts[best] + to] - upto[starts[best]]) / at_least[doc[starts[best]]])
     else:
-        known = set(starts)
-        tried = [i for i in starts if all(i + j in known for j in range(1, more + 1))]
-        grams = [tuple(words[i : i + n]) for i in tried]
-        counts = Counter(grams)
-        found = [i for i, gram in zip(tried, grams) if counts[gram] >= least]
-    return found, Counter({gram: times for gram, times in counts.items() if times >= least})
+        to = RECURRING[0][0]
+        starts, _, _ = longer(to, COPIES)
+        edges = np.zeros(len(code) + 1, np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + to, -1)
+        recurring = per(np.where(np.cumsum(edges[:-1]) > 0, size, 0)) / at_least
+    return WordStatistics(n, characters, per(known) / np.maximum(n, 1), covers, recurring)
+
+
+def ngram_cover(words: list[str]) -> tuple[float, ...]:
+    """For each length in ``NGRAMS``, the share of the characters of all words that the most frequent n-gram covers."""
+    return tuple(word_statistics([words], frozenset()).covers[0].tolist())
 
 
 def repeated_share(words: list[str]) -> float:
@@ -307,18 +335,17 @@ STATISTICS = (
 )
 
 
-def statistics(text: str | None, common: frozenset[str]) -> tuple:
-    """The statistics of a text in the order of ``STATISTICS``, and its kind. Null counts as empty; empty is junk."""
-    text = text or ""
-    words = _WORDS.findall(text.lower())
+def _tokens(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
+
+
+def _described(text: str, n: int, characters: float, common_share: float, grams: Sequence[float], recurring: float, common: frozenset[str]) -> tuple:
+    """The statistics of a text in the order of ``STATISTICS``, and its kind."""
     visible = _visible(text)
     lines = [x for x in (x.strip() for x in _LINES.split(text)) if x]
-    n = len(words)
-    mean = sum(map(len, words)) / n if n else 0.0
+    mean = characters / n if n else 0.0
     symbols = (visible - _alnum(text)) / visible if visible else 0.0
     punctuated = sum(x.endswith(_PUNCTUATION) for x in lines) / len(lines) if lines else 0.0
-    common_share = sum(map(common.__contains__, words)) / n if n else 0.0
-    grams, recurring = _cover_and_recurring(words)
     # a quarter of the half that decides is an eighth of the text; tags between words can hide what recurs
     parts = composition(text, common, recurring > 0.1 or "<" in text)
     total = sum(parts.values())
@@ -334,6 +361,34 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple:
     return (n, mean, symbols, punctuated, common_share, duplicate_lines, duplicate_paragraphs, *grams, *shares, kind)
 
 
+def all_statistics(texts: Sequence[str | None], common: frozenset[str]) -> list[tuple]:
+    """The statistics of each text in the order of ``STATISTICS``, and its kind. Null counts as empty; empty is junk."""
+    out: list[tuple] = []
+    held: list[str] = []
+    words: list[list[str]] = []
+    size = 0
+
+    def close() -> None:
+        w = word_statistics(words, common)
+        out.extend(_described(t, int(n), c, k, g, r, common) for t, n, c, k, g, r in zip(held, w.n.tolist(), w.characters.tolist(), w.common.tolist(), w.covers.tolist(), w.recurring.tolist()))
+
+    for text in texts:
+        held.append(text or "")
+        words.append(_tokens(held[-1]))
+        size += len(words[-1])
+        if size > CHUNK_WORDS:
+            close()
+            held, words, size = [], [], 0
+    if held:
+        close()
+    return out
+
+
+def statistics(text: str | None, common: frozenset[str]) -> tuple:
+    """``all_statistics`` of one text."""
+    return all_statistics([text], common)[0]
+
+
 def quality_statistics(df: DataFrame, id_column: str, text_column: str, common_words: DataFrame, word_column: str = "word") -> DataFrame:
     """``<id>``, the columns of ``STATISTICS`` and ``kind`` (``prose``, ``list``, ``table`` or ``junk``) of every row.
 
@@ -349,7 +404,7 @@ def quality_statistics(df: DataFrame, id_column: str, text_column: str, common_w
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [statistics(t, common) for t in pdf["text"]]
+            rows = all_statistics(pdf["text"].tolist(), common)
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), **{name: [r[i] for r in rows] for i, name in enumerate(names)}})
 
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
