@@ -28,6 +28,8 @@ from lumbung.session import cut, shuffle_partitions
 BUCKET_KEYS, CELLS, GROWTH, LEVELS = 512, 768, 4, 8
 #: Cells that a task holds at once, filled or not; one bucket's at least.
 CHUNK_CELLS = 1_000_000
+#: Failed buckets that are sent to every task, two numbers each.
+FEW_BUCKETS = 100_000
 _SLICE = (1 << 21) - 1
 
 # The primes of the public xxHash64 specification, which Spark's xxhash64 uses.
@@ -241,10 +243,10 @@ def snapshot_changes(df: DataFrame, key: str, day: str, updated: str, values: Se
     number = F.create_map(*(F.lit(x) for i, d in enumerate(days) for x in (d, i)))
     rows, names, kinds = _rows(df, key, updated, values, F.element_at(number, F.to_date(c(day))), bucket_count(df.count(), len(days), bucket_keys))
     partitions, last = shuffle_partitions(spark), len(days) - 1
-    recovered, todo = [], None
+    recovered, todo, small = [], None, None
     for level in range(LEVELS + 1):
         # buckets that failed are read again; rows of others are dropped before the shuffle
-        elements = _elements(rows if todo is None else rows.join(todo.select("bucket").distinct(), "bucket", "left_semi"), partitions, names, kinds)
+        elements = _elements(rows if todo is None else rows.join(small(todo.select("bucket").distinct()), "bucket", "left_semi"), partitions, names, kinds)
         if level == LEVELS:  # hash values that repeat: count the pairs themselves
             sides = F.array(F.struct(F.col("no").alias("pair"), F.lit(1).alias("sign")), F.struct((F.col("no") + 1).alias("pair"), F.lit(-1).alias("sign")))
             pairs = elements.select("bucket", "key", "digest", F.explode(sides).alias("s")).select("bucket", "key", "digest", "s.*")
@@ -253,11 +255,14 @@ def snapshot_changes(df: DataFrame, key: str, day: str, updated: str, values: Se
             break
         size = cells * GROWTH**level
         cellwise = _subtracted(_tables(elements, size), last)
-        result = cut(_peeled(cellwise if todo is None else cellwise.join(todo, ["pair", "bucket"], "left_semi"), size))
+        result = cut(_peeled(cellwise if todo is None else cellwise.join(small(todo), ["pair", "bucket"], "left_semi"), size))
         recovered.append(result.where("sign <> 0").select("pair", "key", "sign"))
         todo = result.where("sign = 0").select("pair", "bucket")
-        if todo.isEmpty():
+        failed = todo.count()
+        if not failed:
             break
+        # the plan can't know how few they are; beyond this many both sides are shuffled
+        small = F.broadcast if failed <= FEW_BUCKETS else (lambda x: x)
     named = spark.createDataFrame(list(enumerate(days)), "no int, day date")
     changes = _told(reduce(DataFrame.unionByName, recovered))
     return changes.join(F.broadcast(named), changes["pair"] == named["no"]).select(F.col("day").alias(day), F.col("key").cast(key_type).alias(key), "how_changed")

@@ -6,23 +6,27 @@ lists run on the delivered mart tables. SQL for checking stands beside each quer
 
 from __future__ import annotations
 
+import sqlite3
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date
+from datetime import date, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lumbung import functions as fn
 from lumbung.operators import merge
 from lumbung.operators.methods import run_method
 from lumbung.operators.quality import REFERENCES, check_mart
-from lumbung.operators.sinks import JdbcSink, ParquetSink
-from lumbung.plans import builders, dashboards as dash
+from lumbung.operators.sinks import JdbcSink, ParquetSink, write_rows
+from lumbung.operators.upsert_sql import upsert_sql
+from lumbung.plans import builders, dashboards as dash, ddl, pipeline
 from lumbung.plans.adapter_sql import with_sources
 from lumbung.schemas import KEYS, MART
 from lumbung.sources import jdbc
 from lumbung.sources.adapter import AdaptedTables
+from lumbung.session import hadoop_path, work_folder
 from lumbung.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,10 +331,7 @@ def _written(method: str, empty: bool = False, keys: list[str] | None = None) ->
     """The table after a write; the folder lies in the shared folder of the cluster."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        from lumbung.session import shared_dir
-
-        folder = shared_dir(spark).rstrip("/")
-        sink = ParquetSink(spark, f"{folder}/write-{method}-{uuid.uuid4().hex}")
+        sink = ParquetSink(spark, f"{work_folder(spark, method)}/t")
         sink.replace(_target(spark, d))
         run_method(_source(spark, d).where(F.lit(not empty)), sink, method, keys)
         return sink.read()
@@ -350,6 +351,132 @@ _register("write_overwrite_empty_noop", _written("overwrite", empty=True), f"WIT
 _register("write_upsert_result", _written("upsert", keys=["entity_id"]), f"WITH {_NOW_SQL} SELECT * FROM now_rows")
 
 
+def write_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What each method says that it did, run one after the other on the same table."""
+    sink = ParquetSink(spark, f"{work_folder(spark, 'stats')}/t")
+    sink.replace(_target(spark, d))
+    steps = [("upsert", ["entity_id"]), ("upsert again", ["entity_id"]), ("append", None), ("overwrite", None), ("truncate", None)]
+    found = [(name, k, int(v)) for name, keys in steps for k, v in run_method(_source(spark, d), sink, name.split()[0], keys).as_dict().items()]
+    return spark.createDataFrame(found, "method string, metric string, value long")
+
+
+def upsert_ignores_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that differ on every run don't make a row changed."""
+    source = _source(spark, d).withColumn("updated_at", F.expr("updated_at + INTERVAL 1 DAY"))
+    return merge.compare(source, _target(spark, d), ["entity_id"]).of("unchanged").select("entity_id")
+
+
+def storage_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per month partition of the stored fact, and rows that stand before one of an earlier day in their file."""
+    sink = pipeline.sink_of(spark, work_folder(spark, "layout"), "fact_stock_snapshot")
+    sink.replace(pipeline.stored(Tables(spark, d)["fact_stock_snapshot"], "fact_stock_snapshot"))
+    rows = sink.read().select("stock_month", "stock_date", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    late = rows.withColumn("before", F.lag("stock_date").over(Window.partitionBy("f").orderBy("i")))
+    return late.groupBy("stock_month").agg(F.count("*").alias("n_rows"), F.count_if(F.col("before") > F.col("stock_date")).alias("out_of_order"))
+
+
+def ddl_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns and types of the empty mart as it is created."""
+    folder = work_folder(spark, "ddl")
+    ddl.create_mart(spark, folder)
+    found = [(t, c, kind) for t in MART if t != "dim_date" for c, kind in Tables(spark, folder)[t].drop("stock_month", "entity_block").dtypes]
+    return spark.createDataFrame(found, "in_table string, in_field string, kind string")
+
+
+def runner_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every table after a run of all jobs."""
+    folder = work_folder(spark, "mart")
+    pipeline.run(spark, AdaptedTables(spark, d), folder)
+    built = Tables(spark, folder)
+    return reduce(DataFrame.unionByName, (built[j.name].agg(F.count("*").alias("n_rows")).select(F.lit(j.name).alias("in_table"), "n_rows") for j in pipeline.JOBS))
+
+
+def expr_run_stamp(spark: SparkSession, d: str) -> DataFrame:
+    return AdaptedTables(spark, d)["regencies"].select("id", fn.run_stamp(datetime(2024, 5, 6, 7, 8, 9)).alias("stamp"))
+
+
+_STATS_SQL = f"""WITH {_NOW_SQL}, {_OLD_SQL}, n AS (SELECT (SELECT count(*) FROM now_rows) AS s, (SELECT count(*) FROM old_rows) AS t,
+  (SELECT count(*) FROM now_rows JOIN old_rows USING (entity_id)) AS e, (SELECT count(*) FROM now_rows n JOIN old_rows o USING (entity_id) WHERE n.entity_name <> o.entity_name) AS c)
+SELECT x.* FROM n, LATERAL (VALUES
+  ('upsert', 'source_count', s), ('upsert', 'count_before', t), ('upsert', 'count_after', s), ('upsert', 'processed', s - e + c), ('upsert', 'inserted', s - e), ('upsert', 'updated', c), ('upsert', 'skipped', e - c),
+  ('upsert', 'new_rows', s - e), ('upsert', 'existing_rows', e), ('upsert', 'changed_rows', c), ('upsert', 'success', s - e + c), ('upsert', 'failed', 0),
+  ('upsert again', 'source_count', s), ('upsert again', 'count_before', s), ('upsert again', 'count_after', s), ('upsert again', 'processed', 0), ('upsert again', 'inserted', 0), ('upsert again', 'updated', 0), ('upsert again', 'skipped', s),
+  ('upsert again', 'new_rows', 0), ('upsert again', 'existing_rows', s), ('upsert again', 'changed_rows', 0), ('upsert again', 'success', 0), ('upsert again', 'failed', 0),
+  ('append', 'source_count', s), ('append', 'count_before', s), ('append', 'count_after', 2 * s), ('append', 'processed', s), ('append', 'inserted', s), ('append', 'failed', 0),
+  ('overwrite', 'source_count', s), ('overwrite', 'count_before', 2 * s), ('overwrite', 'count_after', s), ('overwrite', 'processed', s), ('overwrite', 'inserted', s), ('overwrite', 'failed', 0),
+  ('truncate', 'source_count', s), ('truncate', 'count_before', s), ('truncate', 'count_after', s), ('truncate', 'processed', s), ('truncate', 'inserted', s), ('truncate', 'failed', 0), ('truncate', 'truncated', 1)) x(method, metric, value)"""
+
+for _q, _sql in (
+    (write_statistics, _STATS_SQL),
+    (upsert_ignores_stamps, f"WITH {_NOW_SQL}, {_OLD_SQL} SELECT entity_id FROM now_rows n JOIN old_rows o USING (entity_id) WHERE n.entity_name = o.entity_name"),
+    (storage_layout, "SELECT CAST(strftime(stock_date, '%Y%m') AS INT) AS stock_month, count(*) AS n_rows, CAST(0 AS BIGINT) AS out_of_order FROM fact_stock_snapshot GROUP BY ALL"),
+    (ddl_columns, f"""SELECT table_name AS in_table, column_name AS in_field, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS kind
+FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in MART if t != 'dim_date')}) AND column_name <> 'load_no'"""),
+    (runner_counts, with_sources("\nUNION ALL ".join(
+        ["SELECT 'dim_date' AS in_table, CAST(4018 AS BIGINT) AS n_rows"]
+        + [f"SELECT '{t}', count(*) FROM {source} WHERE deleted_at IS NULL" for t, source in (("dim_material", "master_materials"), ("dim_entity", "entities"), ("dim_activity", "master_activities"), ("dim_entity_tag", "entity_tags"), ("dim_location", "regencies"))]
+        + ["SELECT 'bridge_entity_tag', count(*) FROM (SELECT DISTINCT entity_id, entity_tag_id FROM entity_entity_tags)",
+           "SELECT 'bridge_entity_activity', count(*) FROM (SELECT DISTINCT entity_id, activity_id, join_date, end_date FROM entity_activity_date WHERE deleted_at IS NULL)",
+           "SELECT 'fact_stock_snapshot', count(*) FROM stocks"]), "master_materials", "entities", "master_activities", "entity_tags", "regencies", "entity_entity_tags", "entity_activity_date", "stocks")),
+    (expr_run_stamp, with_sources("SELECT id, TIMESTAMP '2024-05-06 07:08:09' AS stamp FROM regencies", "regencies")),
+):
+    _register(_q.__name__, _q, _sql)
+
+
+# --- statements and URLs ---------------------------------------------------------------------------
+
+#: The statements and URLs that each database expects.
+_STATEMENTS = {
+    ("postgres", "insert"): 'INSERT INTO t ("id", "v") VALUES (:id, :v)',
+    ("postgres", "upsert"): 'INSERT INTO t ("id", "v") VALUES (:id, :v) ON CONFLICT ("id") DO UPDATE SET "v" = EXCLUDED."v"',
+    ("postgres", "keys only"): 'INSERT INTO t ("id", "v") VALUES (:id, :v) ON CONFLICT ("id", "v") DO NOTHING',
+    ("postgres", "truncate"): "TRUNCATE TABLE t CASCADE",
+    ("postgres", "url"): "jdbc:postgresql://h:1/d",
+    ("postgres", "driver url"): "postgresql+psycopg2://u:p%40@h:1/d",
+    ("mysql", "insert"): "INSERT INTO t (`id`, `v`) VALUES (:id, :v)",
+    ("mysql", "upsert"): "INSERT INTO t (`id`, `v`) VALUES (:id, :v) ON DUPLICATE KEY UPDATE `v` = VALUES(`v`)",
+    ("mysql", "keys only"): "INSERT IGNORE INTO t (`id`, `v`) VALUES (:id, :v)",
+    ("mysql", "truncate"): "TRUNCATE TABLE t",
+    ("mysql", "url"): "jdbc:mysql://h:1/d",
+    ("mysql", "driver url"): "mysql+pymysql://u:p%40@h:1/d",
+    ("mariadb", "insert"): "INSERT INTO t (`id`, `v`) VALUES (:id, :v)",
+    ("mariadb", "upsert"): "INSERT INTO t (`id`, `v`) VALUES (:id, :v) ON DUPLICATE KEY UPDATE `v` = VALUES(`v`)",
+    ("mariadb", "keys only"): "INSERT IGNORE INTO t (`id`, `v`) VALUES (:id, :v)",
+    ("mariadb", "truncate"): "TRUNCATE TABLE t",
+    ("mariadb", "url"): "jdbc:mariadb://h:1/d",
+    ("mariadb", "driver url"): "mariadb+pymysql://u:p%40@h:1/d",
+    ("mssql", "insert"): 'INSERT INTO t ("id", "v") VALUES (:id, :v)',
+    ("mssql", "upsert"): 'MERGE INTO t target USING (SELECT :id AS "id", :v AS "v") source ON target."id" = source."id" WHEN MATCHED THEN UPDATE SET target."v" = source."v" WHEN NOT MATCHED THEN INSERT ("id", "v") VALUES (source."id", source."v");',
+    ("mssql", "keys only"): 'MERGE INTO t target USING (SELECT :id AS "id", :v AS "v") source ON target."id" = source."id" AND target."v" = source."v" WHEN NOT MATCHED THEN INSERT ("id", "v") VALUES (source."id", source."v");',
+    ("mssql", "truncate"): "TRUNCATE TABLE t",
+    ("mssql", "url"): "jdbc:sqlserver://h:1;databaseName=d;encrypt=true;trustServerCertificate=true;",
+    ("mssql", "driver url"): "mssql+pyodbc://u:p%40@h:1/d?driver=ODBC+Driver+17+for+SQL+Server&TrustServerCertificate=yes",
+    ("oracle", "insert"): 'INSERT INTO t ("id", "v") VALUES (:id, :v)',
+    ("oracle", "upsert"): 'MERGE INTO t target USING (SELECT :id AS "id", :v AS "v" FROM DUAL) source ON (target."id" = source."id") WHEN MATCHED THEN UPDATE SET target."v" = source."v" WHEN NOT MATCHED THEN INSERT ("id", "v") VALUES (source."id", source."v")',
+    ("oracle", "keys only"): 'MERGE INTO t target USING (SELECT :id AS "id", :v AS "v" FROM DUAL) source ON (target."id" = source."id" AND target."v" = source."v") WHEN NOT MATCHED THEN INSERT ("id", "v") VALUES (source."id", source."v")',
+    ("oracle", "truncate"): "TRUNCATE TABLE t CASCADE",
+    ("oracle", "url"): "jdbc:oracle:thin:@h:1/d",
+    ("oracle", "driver url"): "oracle+cx_oracle://u:p%40@h:1/d",
+}
+
+
+def database_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Every statement and URL of the five transactional databases, and the database that each URL names."""
+    found = []
+    for db in ("postgres", "mysql", "mariadb", "mssql", "oracle"):
+        url = jdbc.jdbc_url(db, "h", 1, "d")
+        texts = {
+            "insert": upsert_sql(db, "t", ["id", "v"]), "upsert": upsert_sql(db, "t", ["id", "v"], ["id"]), "keys only": upsert_sql(db, "t", ["id", "v"], ["id", "v"]),
+            "truncate": jdbc.truncate_sql(jdbc.Target(url, "t")), "url": url, "driver url": jdbc.sql_url(db, "h", 1, "d", "u", "p@"),
+        }
+        found += [(jdbc.dialect_of_url(url).name, what, text) for what, text in texts.items()]
+    return spark.createDataFrame(found, "database string, what string, text string")
+
+
+_quote = lambda x: "'" + x.replace("'", "''") + "'"
+_register("database_statements", database_statements, "SELECT * FROM (VALUES " + ", ".join(f"({_quote(db)}, {_quote(what)}, {_quote(text)})" for (db, what), text in _STATEMENTS.items()) + ") x(database, what, text)")
+
+
 # --- databases -------------------------------------------------------------------------------------
 # The embedded database lives in the driver, so these queries are for local sessions.
 
@@ -391,6 +518,44 @@ def sink_jdbc_upsert(spark: SparkSession, d: str) -> DataFrame:
     return sink.read()
 
 
+def _jdbc_written(method: str, empty: bool = False, **options: object) -> Query:
+    """A database table after a write over its declared schema."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        sink = JdbcSink(spark, jdbc.Target(jdbc.jdbc_url("derby", "", 0, f"catalog{uuid.uuid4().hex}"), "T"), partitions=2)
+        sink.replace(_target(spark, d))
+        run_method(_source(spark, d).where(F.lit(not empty)), sink, method, ["entity_id"] if method == "upsert" else None, **options)
+        return sink.read()
+
+    return query
+
+
+def _row_wise(what: str) -> Query:
+    """A table of the embedded file database after an upsert row by row, or the rows that it refused: those without a province."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        path = hadoop_path(spark, f"{work_folder(spark, 'rows')}/t.db")[1].toUri().getPath()
+        connect = lambda: sqlite3.connect(path, timeout=120)
+        with connect() as c:
+            c.execute('CREATE TABLE t ("entity_id" INTEGER PRIMARY KEY, "entity_name" TEXT, "province_id" TEXT NOT NULL)')
+        columns = ("entity_id", "entity_name", "province_id")
+        write_rows(_target(spark, d).select(*columns), connect, "sqlite", "t", ["entity_id"], batch_size=500)
+        out = write_rows(_source(spark, d).select(*columns), connect, "sqlite", "t", ["entity_id"], batch_size=500)
+        if what == "refused":
+            return out.failed.drop("_error")
+        with connect() as c:
+            return spark.createDataFrame(c.execute("SELECT * FROM t").fetchall(), "entity_id int, entity_name string, province_id string")
+
+    return query
+
+
+_register("sink_jdbc_overwrite", _jdbc_written("overwrite"), f"WITH {_NOW_SQL} SELECT * FROM now_rows")
+_register("sink_jdbc_append", _jdbc_written("append"), f"WITH {_NOW_SQL}, {_OLD_SQL} SELECT * FROM now_rows UNION ALL SELECT * FROM old_rows")
+_register("sink_jdbc_truncate", _jdbc_written("truncate", empty=True), f"WITH {_OLD_SQL} SELECT * FROM old_rows WHERE 1 = 0")
+_register("sink_jdbc_whole", _jdbc_written("upsert", transaction=True), f"WITH {_NOW_SQL} SELECT * FROM now_rows")
+_register("sink_rows_upsert", _row_wise("table"), f"WITH {_NOW_SQL} SELECT entity_id, entity_name, province_id FROM now_rows WHERE province_id IS NOT NULL")
+_register("sink_rows_refused", _row_wise("refused"), f"WITH {_NOW_SQL} SELECT entity_id, entity_name, province_id FROM now_rows WHERE province_id IS NULL")
+
 for _q, _sql in (
     (source_jdbc_query, "SELECT is_vaccine, count(*) AS n_rows FROM dim_material GROUP BY is_vaccine"),
     (source_jdbc_split, "SELECT material_id, category FROM dim_material"),
