@@ -5,10 +5,10 @@ parents. References become bitmaps per field, month and range of 32,768 codes; p
 per code range and month of creation. Bitmaps are kept in containers: sorted 16-bit places where few
 bits are set, the bits where many are. Per code range, the references of a month AND NOT the parents
 created before that month leave a few codes: keys that are missing, or whose parent was created in
-that month or later. These are decoded by the dictionary. A hash filter of fixed size over what is left goes to
-the rows' scan, so that only rows that may be orphans are shuffled to be looked up one by one. A key's
-number of rows never matters to the bitmaps, and a code range holds at most one bitmap per field and
-month, whatever the number of rows.
+that month or later. These are decoded by the dictionary. If they are few they go to the rows' scan;
+if not, a hash filter of fixed size over them does, so that only rows that may be orphans are shuffled
+to be looked up one by one. A key's number of rows never matters to the bitmaps, and a code range holds
+at most one bitmap per field and month, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from lumbung.session import cut
 BITS = 32_768
 #: Bits of the filter for rows, and in each of its blocks, which are joined by their number.
 FILTER_BITS, BLOCK_BITS = 1 << 23, 1 << 15
+#: Keys by field and month that are sent to every task, some 100 bytes each; more are shuffled to the rows that may hold them.
+FEW_KEYS = 100_000
 _NEVER = -(2**31)
 
 
@@ -212,7 +214,11 @@ def orphan_references(refs: Sequence[Reference]) -> DataFrame:
     )
     named = ["in_table", "in_field", "month", "key_id"]
     kind = F.when(F.col("made").isNull(), F.when(F.col("gone"), "deleted").otherwise("missing")).when(F.col("made") > F.col("created"), "late")
-    rows = _may_hold(flat, _filter(known, *named), *named).join(known, named).withColumn("kind", kind).where("kind IS NOT NULL")
+    if known.count() <= FEW_KEYS:  # sent to the rows' scan, so that no key's rows come together, however many they are
+        rows = flat.join(F.broadcast(known), named)
+    else:
+        rows = _may_hold(flat, _filter(known, *named), *named).join(known, named)
+    rows = rows.withColumn("kind", kind).where("kind IS NOT NULL")
     whole = all(isinstance(r.rows.schema[r.field].dataType, IntegralType) for r in refs)
     return rows.select("in_table", "in_field", "record_key", "ref_month", F.col("key_id").cast("long" if whole else "string").alias("key_id"), "kind").distinct()
 

@@ -183,13 +183,15 @@ def plain_orphans(refs, parents, deleted):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_orphans_against_plain_version(spark, seed):
+def test_orphans_against_plain_version(spark, seed, monkeypatch):
     r = random.Random(seed)
     key = lambda: r.choice([None, 0, -1, -40_000, 1, 32_768, 32_769, 65_536, *range(2, 60)])
     refs = [(i, key(), ts(r.choice([None, *range(0, 200, 7)]))) for i in range(400)] + [(1, 1, ts(0))] * 3
     parents = [(key(), ts(r.choice([None, -5, *range(0, 200, 5)]))) for _ in range(40)] + [(None, ts(1))]
     deleted = [key() for _ in range(20)]
     assert rows(orphans(spark, refs, parents, deleted)) == plain_orphans(refs, parents, deleted)
+    monkeypatch.setattr(references, "FEW_KEYS", 0)
+    assert rows(orphans(spark, refs, parents, deleted)) == plain_orphans(refs, parents, deleted)
 
 
 def test_orphans_without_parents_or_rows(spark):
