@@ -70,8 +70,9 @@ def _step(a: list[int], b: list[int], sizes: np.ndarray, room: int) -> tuple[lis
 def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search; every step raises the sum of squared fills, so it ends.
 
-    The emptiest bin gives to fuller ones, in passes over them, until it is empty or nothing fits; a
-    bin that can't be emptied is not tried again after later exchanges. A bin that holds more than all the room in fuller bins can't be emptied, nor can a fuller one.
+    The emptiest bin gives to fuller ones, in passes over them, until it is empty or nothing fits. Each
+    bin is tried once: one that can't be emptied is not tried again after later exchanges. A bin that
+    holds more than all the room in fuller bins can't be emptied, nor can a fuller one.
     """
     fill = [int(sizes[b].sum()) for b in map(np.array, bins)] if bins else []
     fewest = math.ceil(int(sizes.sum()) / capacity)
