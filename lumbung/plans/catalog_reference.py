@@ -28,6 +28,7 @@ from lumbung.sources import jdbc
 from lumbung.sources.adapter import AdaptedTables
 from lumbung.session import hadoop_path, work_folder
 from lumbung.sources.tables import Tables
+from lumbung.streaming import upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -511,6 +512,37 @@ def source_jdbc_count(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n,)], "n_rows long")
 
 
+def etl_over_jdbc(spark: SparkSession, d: str) -> DataFrame:
+    """The fact built from a database as the job does, its large tables read in ranges of their ids."""
+    url, sources = jdbc.jdbc_url("derby", "", 0, f"catalog{uuid.uuid4().hex}"), AdaptedTables(spark, d)
+    for name in _FACT_SOURCES:
+        JdbcSink(spark, jdbc.Target(url, name), partitions=4).replace(sources[name])
+    tables = pipeline.jdbc_tables(spark, url, "", "", {"stocks": 4, "batches": 2}, _FACT_SOURCES)
+    return builders.fact_stock_snapshot(tables).select("stock_id", "stock_date", "batch_code", "entity_id", "material_id", "province_id", "stock_quantity")
+
+
+def etl_to_database(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of tables that the runner wrote to a database, twice by upsert and once by overwrite."""
+    url, tables = jdbc.jdbc_url("derby", "", 0, f"catalog{uuid.uuid4().hex}"), AdaptedTables(spark, d)
+    jobs = [pipeline.TableJob(name) for name in ("dim_material", "dim_entity")]
+    targets = {j.name: jdbc.Target(url, j.name) for j in jobs}
+    pipeline.run_to_database(spark, tables, targets, jobs, partitions=2)
+    again = [replace(j, method="upsert", keys=tuple(KEYS[j.name])) for j in jobs]
+    stats = pipeline.run_to_database(spark, tables, targets, again)
+    return spark.createDataFrame([(name, JdbcSink(spark, targets[name]).count(), s.skipped) for name, s in stats.items()], "in_table string, n_rows long, skipped long")
+
+
+def stream_upsert_result(spark: SparkSession, d: str) -> DataFrame:
+    """A table that a stream of facilities keeps current, over one that lacks the last two deliveries."""
+    folder = work_folder(spark, "stream")
+    sink = ParquetSink(spark, f"{folder}/t")
+    sink.replace(_target(spark, d).drop("updated_at"))
+    stream = spark.readStream.schema(Tables(spark, d)["dim_entity"].schema).parquet(f"{d}/dim_entity.parque[t]").select(*_WRITE_COLUMNS[:-1])
+    query = upsert_stream(stream, sink, ["entity_id"], ["load_no"], f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sink.read()
+
+
 def sink_jdbc_upsert(spark: SparkSession, d: str) -> DataFrame:
     sink = JdbcSink(spark, jdbc.Target(jdbc.jdbc_url("derby", "", 0, f"catalog{uuid.uuid4().hex}"), "T"), partitions=2)
     sink.replace(_target(spark, d))
@@ -563,6 +595,9 @@ for _q, _sql in (
     (source_jdbc_columns, "SELECT tag_name FROM dim_entity_tag"),
     (source_jdbc_count, "SELECT count(*) AS n_rows FROM dim_activity"),
     (sink_jdbc_upsert, f"WITH {_NOW_SQL} SELECT * FROM now_rows"),
+    (etl_over_jdbc, with_sources(f"SELECT s.id AS stock_id, CAST(s.createdAt AS DATE) AS stock_date, b.code AS batch_code, m.entity_id, m.master_material_id AS material_id, e.province_id, coalesce(s.qty, 0) AS stock_quantity {_FACT_FROM}", *_FACT_SOURCES)),
+    (etl_to_database, with_sources("SELECT 'dim_material' AS in_table, count(*) AS n_rows, count(*) AS skipped FROM master_materials WHERE deleted_at IS NULL UNION ALL SELECT 'dim_entity', count(*), count(*) FROM entities WHERE deleted_at IS NULL", "master_materials", "entities")),
+    (stream_upsert_result, "SELECT entity_id, entity_name, entity_type, province_id, status, load_no FROM dim_entity"),
 ):
     _register(_q.__name__, _q, _sql)
 

@@ -70,13 +70,13 @@ def run_to_database(spark: SparkSession, tables: Mapping[str, DataFrame], target
     return {job.name: run_method(build(job.name, spark, tables), JdbcSink(spark, targets[job.name], connect=connect), job.method, list(job.keys) or None, **options) for job in jobs}
 
 
-def jdbc_tables(spark: SparkSession, url: str, user: str, password: str, splits: Mapping[str, int] = SPLITS) -> Tables:
-    """The source tables as lazy scans; filters and columns are pushed into the database.
+def jdbc_tables(spark: SparkSession, url: str, user: str, password: str, splits: Mapping[str, int] = SPLITS, names: Sequence[str] = SOURCES) -> Tables:
+    """The source tables (or some) as lazy scans; filters and columns are pushed into the database.
 
     Tables named in ``splits`` are read by so many tasks, in ranges of their id between its bounds.
     """
     out = {}
-    for name in SOURCES:
+    for name in names:
         target = Target(url, name, user, password)
         split = split_of(spark, target, "id", splits[name]) if splits.get(name, 1) > 1 else None
         out[name] = read_query(spark, target, f"SELECT * FROM {name}", split)
