@@ -16,7 +16,8 @@ code and histograms of scores: their number depends on columns and loads, not on
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -30,7 +31,7 @@ from lumbung import functions as fn
 from lumbung.session import Scratch, cut
 
 #: Quantile ranges of numbers, hash classes of texts, bins of scores.
-RANGES, CLASSES, BINS = 8, 16, 400
+RANGES, CLASSES, BINS = 8, 16, 256
 #: Rows of each load and fold that regressions are fitted on, about; steps of a fit at most, and the
 #: step of a coefficient that ends it.
 FIT_ROWS, STEPS, CONVERGED = 4_000, 100, 0.002
@@ -270,24 +271,34 @@ def _frequent(p: Profiled, c: str) -> list[str]:
     return sorted(r["v"] for r in found) if len(found) <= 256 - 2 - CLASSES else []
 
 
+def _each(f: Callable, tables: Sequence[Profiled]) -> list:
+    """``f`` of every table; the small jobs of one run beside those of another."""
+    with ThreadPoolExecutor(max(1, len(tables))) as pool:
+        return list(pool.map(f, tables))
+
+
+def _looked_over(p: Profiled) -> tuple:
+    """What coding a table needs: its columns, their values under names of their own, validity, places with ranges, quantiles and loads, and frequent values."""
+    columns = (*p.numbers, *p.texts)
+    marks = [i / RANGES for i in range(1, RANGES)]
+    # values are made once; what reads them several times stands above
+    values = [p.number(c) if c in p.numbers else F.col(f"`{c}`") for c in columns]
+    plain = p.rows.select(
+        F.col(f"`{p.load}`").alias("load"), F.xxhash64(F.col(f"`{p.key}`"), *(F.col(f"`{c}`") for c in columns)).alias("h"),
+        *(v.alias(f"c{j}") for j, v in enumerate(values)), *(p.is_valid(c).alias(f"ok{j}") for j, c in enumerate(columns) if c in p.valid),
+    )
+    ok = [F.col(f"ok{j}") if c in p.valid else fn.is_finite(f"c{j}") if c in p.numbers else F.lit(True) for j, c in enumerate(columns)]
+    ranged = [j for j, c in enumerate(columns) if c in p.numbers and c not in p.valid]
+    found = plain.agg(F.collect_set("load").alias("loads"), *(F.percentile_approx(F.when(ok[j], F.col(f"c{j}")), marks, 100).alias(f"q{j}") for j in ranged)).first()
+    return columns, plain, ok, ranged, found, {c: _frequent(p, c) for c in p.texts if c in p.valid}
+
+
 def _coded(tables: Sequence[Profiled]) -> tuple[list[_Coded], DataFrame]:
     """Rows ``grp, fold, u, w0, w1…`` of all tables: the load, the fold, a number drawn by hash, and the codes, a byte each, in words of eight."""
     layout, parts, group = [], [], 0
     words = -(-max(len(p.numbers) + len(p.texts) for p in tables) // 8)
-    for p in tables:
-        columns = (*p.numbers, *p.texts)
-        marks = [i / RANGES for i in range(1, RANGES)]
-        # values are made once, under names of their own; what reads them several times stands above
-        values = [p.number(c) if c in p.numbers else F.col(f"`{c}`") for c in columns]
-        plain = p.rows.select(
-            F.col(f"`{p.load}`").alias("load"), F.xxhash64(F.col(f"`{p.key}`"), *(F.col(f"`{c}`") for c in columns)).alias("h"),
-            *(v.alias(f"c{j}") for j, v in enumerate(values)), *(p.is_valid(c).alias(f"ok{j}") for j, c in enumerate(columns) if c in p.valid),
-        )
-        ok = [F.col(f"ok{j}") if c in p.valid else fn.is_finite(f"c{j}") if c in p.numbers else F.lit(True) for j, c in enumerate(columns)]
-        ranged = [j for j, c in enumerate(columns) if c in p.numbers and c not in p.valid]
-        found = plain.agg(F.collect_set("load").alias("loads"), *(F.percentile_approx(F.when(ok[j], F.col(f"c{j}")), marks, 100).alias(f"q{j}") for j in ranged)).first()
+    for p, (columns, plain, ok, ranged, found, own) in zip(tables, _each(_looked_over, tables)):
         loads = tuple(sorted(found["loads"]))
-        own = {c: _frequent(p, c) for c in p.texts if c in p.valid}
         widths, coded, edges = [], [], []
         for j, c in enumerate(columns):
             v = F.col(f"c{j}")
@@ -339,6 +350,13 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         yield k // 2, k % 2, codes[kind == k]
 
 
+def _gathered(parts: DataFrame, value: str) -> list[np.ndarray]:
+    """The keys of partial sums, and the sums, as arrays on the driver; their number is bounded by columns and loads."""
+    keys = [c for c in parts.columns if c != value]
+    table = parts.groupBy(*keys).agg(F.sum(value).alias(value)).toArrow()
+    return [table.column(c).to_numpy() for c in (*keys, value)]
+
+
 def _counted(rows: DataFrame, layout: Sequence[_Coded]) -> np.ndarray:
     """Rows by load, fold, column and code."""
     n_columns = max(len(at.columns) for at in layout)
@@ -352,8 +370,8 @@ def _counted(rows: DataFrame, layout: Sequence[_Coded]) -> np.ndarray:
         yield from _sums(("grp", "fold", "place", "n"), total)
 
     out = np.zeros((max((at.first_group + len(at.loads) for at in layout), default=0), 2, n_columns * 256), np.int64)
-    for r in rows.mapInArrow(count, "grp int, fold int, place int, n long").groupBy("grp", "fold", "place").agg(F.sum("n").alias("n")).collect():
-        out[r["grp"], r["fold"], r["place"]] = r["n"]
+    grp, fold, place, n = _gathered(rows.mapInArrow(count, "grp int, fold int, place int, n long"), "n")
+    out[grp, fold, place] = n
     return out.reshape(len(out), 2, n_columns, 256)
 
 
@@ -452,8 +470,10 @@ def _scored(rows: DataFrame, layout: Sequence[_Coded], beta: Mapping[tuple[int,
         yield from _sums(("pair", "fold", "label", "place", "n"), total)
 
     out = {k: np.zeros((2, b.shape[1] * BINS)) for k, b in beta.items()}
-    for r in rows.mapInArrow(histogram, "pair int, fold int, label int, place int, n long").groupBy("pair", "fold", "label", "place").agg(F.sum("n").alias("n")).collect():
-        out[r["pair"], r["fold"]][r["label"], r["place"]] = r["n"]
+    pair, fold, label, place, n = _gathered(rows.mapInArrow(histogram, "pair int, fold int, label int, place int, n long"), "n")
+    for k, h in out.items():
+        own = (pair == k[0]) & (fold == k[1])
+        h[label[own], place[own]] = n[own]
     return {k: h.reshape(2, -1, BINS) for k, h in out.items()}
 
 
@@ -535,8 +555,10 @@ def shifted_loads(tables: Sequence[Profiled], null_shift: float = NULL_SHIFT, fa
     equal), or a share of the most frequent value that differs by more than ``top_shift``. Rows without
     a load number count for nothing.
     """
-    named = load_discrimination(tables, null_shift, factor, top_shift).where("in_reach IS NOT NULL AND (suspected OR in_reach)").select("in_table", "in_field", "load_no")
-    stats = reduce(DataFrame.unionByName, map(load_statistics, tables)).where(F.col("load_no").isNotNull())
+    with ThreadPoolExecutor(1) as beside:
+        exact = beside.submit(_each, load_statistics, tables)
+        named = load_discrimination(tables, null_shift, factor, top_shift).where("in_reach IS NOT NULL AND (suspected OR in_reach)").select("in_table", "in_field", "load_no")
+        stats = reduce(DataFrame.unionByName, exact.result()).where(F.col("load_no").isNotNull())
     before = Window.partitionBy("in_table", "in_field").orderBy("load_no")
     both = stats.withColumns({f"old_{c}": F.lag(c).over(before) for c in ("n_rows", "n_null", "median", "top_count")}).where(F.col("old_n_rows").isNotNull())
     share = lambda c, o="": F.coalesce(F.col(f"{o}{c}"), F.lit(0)) / F.col(f"{o}n_rows")
