@@ -220,6 +220,23 @@ def changes_of_tables(old: DataFrame, new: DataFrame, cells: int = CELLS) -> tup
     return _told(peeled.where("sign <> 0").select("pair", "key", "sign")).drop("pair"), peeled.where("sign = 0").select("bucket")
 
 
+def changes_between(old: DataFrame, new: DataFrame, old_rows: DataFrame, new_rows: DataFrame, key: str, updated: str, values: Sequence[str], buckets: int, cells: int = CELLS) -> DataFrame:
+    """``key, how_changed`` between two deliveries by their kept ``delivery_tables``; of their rows only buckets that differ too much are read."""
+    changes, failed = changes_of_tables(old, new, cells)
+    changes = changes.select(F.col("key").cast(new_rows.schema[key].dataType).alias(key), "how_changed")
+    n = failed.count()
+    if not n:
+        return changes
+    few = F.broadcast(failed) if n <= FEW_BUCKETS else failed
+    sides = []
+    for rows, day in ((old_rows, "2000-01-01"), (new_rows, "2000-01-02")):
+        bucket = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("long")), F.lit(buckets))
+        picked = rows.select(*(F.col(f"`{c}`") for c in (key, updated, *values)), bucket.alias("bucket"), F.lit(day).cast("date").alias("__day"))
+        sides.append(picked.join(few, "bucket", "left_semi"))
+    again = snapshot_changes(sides[0].unionByName(sides[1]), key, "__day", updated, values, cells=cells * GROWTH)
+    return changes.unionByName(again.drop("__day"))
+
+
 def _told(signs: DataFrame) -> DataFrame:
     how = F.when(F.min("sign") != F.max("sign"), "changed").when(F.max("sign") > 0, "added").otherwise("removed")
     return signs.groupBy("pair", "key").agg(how.alias("how_changed"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumbung.operators import history, profile, references, skew, snapshot_diff
 from lumbung.operators.intervals import periods_and_gaps
 from lumbung.schemas import MART
+from lumbung.session import work_folder
 from lumbung.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +225,28 @@ def p5_versions(spark: SparkSession, d: str) -> DataFrame:
     return history.reconstruct(_history(spark, d)).drop("n_versions")
 
 
+def _grown(spark: SparkSession, d: str) -> history.History:
+    """The history as it is kept: saved after the first half of the time of receipt, and extended by the rest."""
+    rows, folder = read_table(spark, d, "entity_snapshots"), work_folder(spark, "history")
+    low, high = rows.agg(F.min("received_at"), F.max("received_at")).first()
+    middle = F.lit(None if low is None else low + (high - low) / 2).cast("timestamp_ntz")
+    late = F.coalesce(F.col("received_at") > middle, F.lit(False))
+    h = history.save(history.store(rows.where(~late), "entity_id", _ATTRIBUTES, "snapshot_date", "received_at"), f"{folder}/first")
+    return history.save(history.extend(h, rows.where(late), "snapshot_date", "received_at"), f"{folder}/whole")
+
+
+def p5_extended(spark: SparkSession, d: str) -> DataFrame:
+    return history.reconstruct(_grown(spark, d)).drop("n_versions")
+
+
+_AS_OF = date(2024, 3, 15)
+
+
+def p5_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The attributes of every facility on a day, from the nearest checkpoints of the kept history."""
+    return history.as_of(_grown(spark, d), _AS_OF, ends=False)
+
+
 _VERSIONS_SQL = """
 held AS (SELECT entity_id, snapshot_date AS day, entity_type, status, regency_id FROM entity_snapshots WHERE entity_id IS NOT NULL AND snapshot_date IS NOT NULL
   QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id, snapshot_date ORDER BY received_at DESC NULLS LAST, entity_type DESC NULLS LAST, status DESC NULLS LAST, regency_id DESC NULLS LAST) = 1),
@@ -232,6 +256,7 @@ versions AS (SELECT *, LEAD(day) OVER w AS next_day, CAST(ROW_NUMBER() OVER w AS
 """
 P5_FOUND_SQL = f"""WITH {_VERSIONS_SQL} SELECT entity_id, strftime(day, '%Y-%m-%d') AS valid_from,
 COALESCE(strftime(CAST(next_day - INTERVAL 1 DAY AS DATE), '%Y-%m-%d'), 'open') AS valid_to FROM versions WHERE n > 1"""
+P5_AS_OF_SQL = f"""WITH {_VERSIONS_SQL} SELECT entity_id, day AS valid_from, entity_type, status, regency_id FROM versions WHERE day <= DATE '{_AS_OF}' AND (next_day IS NULL OR next_day > DATE '{_AS_OF}')"""
 P5_VERSIONS_SQL = f"""WITH {_VERSIONS_SQL} SELECT entity_id, day AS valid_from, CAST(next_day - INTERVAL 1 DAY AS DATE) AS valid_to, version, entity_type, status, regency_id FROM versions"""
 
 
@@ -243,6 +268,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(_day("snapshot_date").alias("snapshot_day"), "stock_id", "how_changed")
 
 
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The same from tables that are kept per delivery: each is made when its delivery comes and read with the next."""
+    rows, folder = read_table(spark, d, "stock_snapshots"), work_folder(spark, "tables")
+    columns = ("stock_id", "source_updated_at", ["stock_quantity", "allocated"])
+    days = [r[0] for r in rows.select("snapshot_date").where("snapshot_date IS NOT NULL").distinct().orderBy("snapshot_date").collect()]
+    buckets = snapshot_diff.bucket_count(rows.count(), len(days))
+    of = [rows.where(F.col("snapshot_date") == day) for day in days]
+    found = spark.createDataFrame([], "snapshot_day string, stock_id long, how_changed string")
+    for i, day in enumerate(days):
+        snapshot_diff.delivery_tables(of[i], *columns, buckets).write.parquet(f"{folder}/{i}")
+        if i:
+            old, new = (spark.read.parquet(f"{folder}/{k}") for k in (i - 1, i))
+            changes = snapshot_diff.changes_between(old, new, of[i - 1], of[i], *columns, buckets)
+            found = found.unionByName(changes.select(F.lit(str(day)).alias("snapshot_day"), "stock_id", "how_changed"))
+    return found
+
+
 P6_FOUND_SQL = """WITH held AS (SELECT snapshot_date AS day, stock_id, stock_quantity AS q, allocated AS a FROM stock_snapshots WHERE stock_id IS NOT NULL AND snapshot_date IS NOT NULL
   QUALIFY ROW_NUMBER() OVER (PARTITION BY snapshot_date, stock_id ORDER BY source_updated_at DESC NULLS LAST, stock_quantity DESC NULLS LAST, allocated DESC NULLS LAST) = 1),
 days AS (SELECT day, LAG(day) OVER (ORDER BY day) AS before FROM (SELECT DISTINCT day FROM held)),
@@ -255,7 +297,7 @@ WHERE n.stock_id IS NULL OR o.stock_id IS NULL OR n.q IS DISTINCT FROM o.q OR n.
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_key_totals, p3_found, p3_report, p4_found, p4_profile, p4_load_statistics, p4_discrimination, p5_found, p5_versions, p6_found)
+    f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_key_totals, p3_found, p3_report, p4_found, p4_profile, p4_load_statistics, p4_discrimination, p5_found, p5_versions, p5_extended, p5_as_of, p6_found, p6_kept)
 }
 SQL: dict[str, str] = {
     "p1_found": P1_FOUND_SQL,
@@ -269,5 +311,8 @@ SQL: dict[str, str] = {
     "p4_load_statistics": P4_LOAD_STATISTICS_SQL,
     "p5_found": P5_FOUND_SQL,
     "p5_versions": P5_VERSIONS_SQL,
+    "p5_extended": P5_VERSIONS_SQL,
+    "p5_as_of": P5_AS_OF_SQL,
     "p6_found": P6_FOUND_SQL,
+    "p6_kept": P6_FOUND_SQL,
 }

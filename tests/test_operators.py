@@ -496,6 +496,9 @@ def test_kept_tables_give_the_same_changes(spark):
     changes, failed = snapshot_diff.changes_of_tables(a, b)
     want = [(i, "removed") for i in range(5)] + [(i, "changed") for i in range(9, 400, 9)] + [(i, "added") for i in range(400, 410)]
     assert rows(changes) == sorted(want, key=repr) and failed.count() == 0
+    small = [snapshot_diff.delivery_tables(x, "id", "u", ["q"], 4, cells=9) for x in (old, new)]
+    assert snapshot_diff.changes_of_tables(*small, cells=9)[1].count() == 4
+    assert rows(snapshot_diff.changes_between(*small, old, new, "id", "u", ["q"], 4, cells=9)) == sorted(want, key=repr)
 
 
 def test_many_buckets_with_one_change_each_stay_small(spark):
