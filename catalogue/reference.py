@@ -1,6 +1,6 @@
 """Queries of the mart itself: builders, dashboards, filter lists, expressions, joins, aggregates, writes.
 
-Builders and write methods run on the operational tables (``sources.adapter``); dashboards and filter
+Builders and write methods run on the operational tables (``adapter``); dashboards and filter
 lists run on the delivered mart tables. SQL for checking stands beside each query.
 """
 
@@ -15,6 +15,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from catalogue.adapter import AdaptedTables
+from catalogue.adapter_sql import with_sources
 from lumbung import functions as fn
 from lumbung.operators import merge
 from lumbung.operators.methods import run_method
@@ -22,11 +24,9 @@ from lumbung.operators.quality import REFERENCES, check_mart
 from lumbung.operators.sinks import JdbcSink, ParquetSink, write_rows
 from lumbung.operators.upsert_sql import upsert_sql
 from lumbung.plans import builders, dashboards as dash, ddl, pipeline
-from lumbung.plans.adapter_sql import with_sources
 from lumbung.schemas import KEYS, MART
-from lumbung.sources import jdbc
-from lumbung.sources.adapter import AdaptedTables
 from lumbung.session import hadoop_path, work_folder
+from lumbung.sources import jdbc
 from lumbung.sources.tables import Tables
 from lumbung.streaming import upsert_stream
 

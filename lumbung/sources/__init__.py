@@ -1,4 +1,4 @@
-"""Readers: Parquet tables, JDBC databases and the adapter over the driver's tables."""
+"""Readers: Parquet tables and JDBC databases."""
 
 from lumbung.sources.tables import Tables, read_table
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lumbung import functions as fn
 from lumbung.plans import builders, dashboards as dash
-from lumbung.plans.catalog_reference import built_mart
+from catalogue.reference import built_mart
 from lumbung.schemas import MART, cast_to
-from lumbung.sources.adapter import AdaptedTables
+from catalogue.adapter import AdaptedTables
 from lumbung.sources.tables import Tables
 
 

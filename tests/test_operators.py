@@ -341,7 +341,7 @@ def test_octave_ranges_hold_their_values(spark):
 
 
 def test_every_column_is_told_apart(spark, sf):
-    from lumbung.plans.catalog_general import p4_discrimination
+    from catalogue.general import p4_discrimination
 
     got = {(x["in_table"], x["in_field"]) for x in p4_discrimination(spark, sf).select("in_table", "in_field").distinct().collect()}
     tables = {"fact_stock_snapshot": "stock_id", "dim_entity": "entity_id", "dim_material": "material_id"}

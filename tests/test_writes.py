@@ -14,7 +14,7 @@ from lumbung.operators.upsert_sql import upsert_sql
 from lumbung.plans import ddl, pipeline
 from lumbung.session import hadoop_path
 from lumbung.sources import jdbc
-from lumbung.sources.adapter import AdaptedTables
+from catalogue.adapter import AdaptedTables
 from lumbung.streaming import latest_per_key, upsert_stream
 
 
