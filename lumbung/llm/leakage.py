@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 #: of an item is a hundred characters and more; sixteen seeds are 27 of them in a row, or fewer in
 #: several places. Of an item with few seeds half of them will do (``Item.least``).
 SEED, MIN_SEEDS, WINDOW_SEEDS = 12, 16, 3
-#: Characters of items that are sent to the executors as one index; more are joined as a table.
-INDEX_CHARS = 4_000_000
+#: Bytes of items that are sent to the executors as one index; more are joined as a table.
+INDEX_BYTES = 4_000_000
 #: Runs of this many characters and more that so many items share are instructions.
 INSTRUCTION, INSTRUCTION_ITEMS = 70, 5
 #: Distance of seeds in one window, and context beside them.
@@ -610,8 +610,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
     c = lambda name: F.col(f"`{name}`")
     prepared, members = _prepared(items, item_id, item_text)
     rows = documents.where(c(id_column).isNotNull() & c(text_column).isNotNull()).select(c(id_column).alias("id"), c(text_column).alias("text"))
-    size = prepared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    found = (_by_index if size <= INDEX_CHARS else _by_join)(rows, prepared).join(members, "key")
+    size = items.agg(F.coalesce(F.sum(F.octet_length(c(item_text))), F.lit(0))).first()[0]
+    found = (_by_index if size <= INDEX_BYTES else _by_join)(rows, prepared).join(members, "key")
     share = F.when(F.col("words") > 0, F.col("words_held") / F.col("words")).otherwise(0.0)
     return found.select(c("id").alias(id_column), "item_id", "n_seeds", "words_held", "words", share.alias("share"), "score").distinct()
 

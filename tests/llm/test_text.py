@@ -221,7 +221,7 @@ def test_items_as_a_table_give_the_same(spark, monkeypatch):
     texts = [x["question"] for x in items.collect()]
     docs = spark.createDataFrame([(i, q) for i, q in enumerate(texts)] + [(3, texts[9] + " " + texts[11]), (3, texts[3]), (60, " ".join(t[40:200] for t in texts)), (None, "x"), (61, None), (62, "He asks, why not?")], "doc_id int, text string")
     one = rows(leakage.leaked_items(docs, items))
-    monkeypatch.setattr(leakage, "INDEX_CHARS", 0)
+    monkeypatch.setattr(leakage, "INDEX_BYTES", 0)
     assert rows(leakage.leaked_items(docs, items)) == one and len(one) >= 40 and {x[0] for x in one if x[1] == 50} == {40, 62}
     assert leakage.leaked_items(docs.where("false"), items).count() == 0 and leakage.leaked_items(docs, items.where("false")).count() == 0
 
