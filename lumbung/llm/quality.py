@@ -62,6 +62,16 @@ _NOT_ALNUM = bytes(c for c in range(256) if not chr(c).isalnum() or c > 127)
 _PLAIN, _HEADING = "plain", "heading"
 
 
+def _lines(text: str) -> list[str]:
+    return _LINES.split(text) if "\r" in text else text.split("\n")
+
+
+def _paragraphs(text: str) -> list[str]:
+    """Parts between blank lines, stripped, without empty ones."""
+    parts = _PARAGRAPHS.split(text) if "\n" in text or "\r" in text else [text]
+    return [p for p in map(str.strip, parts) if p]
+
+
 def _visible(text: str) -> int:
     return len(text) - sum(map(text.count, " \t\n\r\x0b\x0c\u00a0"))
 
@@ -148,7 +158,7 @@ def _plain_block(lines: list[str], common: frozenset[str]) -> str:
 def _unwrap(text: str) -> list[tuple[str, str | None]]:
     """Lines of a text with the kind that markup gives them, if it does; tags are taken out."""
     if "<" not in text or not _TAGS.search(text):
-        return [(x, None) for x in _LINES.split(text)]
+        return [(x, None) for x in _lines(text)]
     out: list[tuple[str, str | None]] = []
     depth = {"table": 0, "ul": 0}
     at = 0
@@ -159,7 +169,7 @@ def _unwrap(text: str) -> list[tuple[str, str | None]]:
         kind = TABLE if depth["table"] else LIST if depth["ul"] else None
         if tags > 2 * _visible(plain) and kind is None and tags > 40:
             out.append(("<" * tags, JUNK))  # markup without text
-        out.extend((x, kind) for x in _LINES.split(plain))
+        out.extend((x, kind) for x in _lines(plain))
 
     for m in _BLOCK_TAGS.finditer(text):
         add(text[at : m.start()])
@@ -342,14 +352,14 @@ def _tokens(text: str) -> list[str]:
 def _described(text: str, n: int, characters: float, common_share: float, grams: Sequence[float], recurring: float, common: frozenset[str]) -> tuple:
     """The statistics of a text in the order of ``STATISTICS``, and its kind."""
     visible = _visible(text)
-    lines = [x for x in (x.strip() for x in _LINES.split(text)) if x]
+    lines = [x for x in map(str.strip, _lines(text)) if x]
     mean = characters / n if n else 0.0
     symbols = (visible - _alnum(text)) / visible if visible else 0.0
     punctuated = sum(x.endswith(_PUNCTUATION) for x in lines) / len(lines) if lines else 0.0
     # a quarter of the half that decides is an eighth of the text; tags between words can hide what recurs
     parts = composition(text, common, recurring > 0.1 or "<" in text)
     total = sum(parts.values())
-    duplicate_lines, duplicate_paragraphs = _duplicate_share(lines), _duplicate_share([p for p in (p.strip() for p in _PARAGRAPHS.split(text)) if p])
+    duplicate_lines, duplicate_paragraphs = _duplicate_share(lines), _duplicate_share(_paragraphs(text))
     repeated = n >= 10 and (max(grams) > REPEATED_NGRAM or max(duplicate_lines, duplicate_paragraphs) > DUPLICATES and parts[PROSE] * 2 >= total)
     if not total or repeated and parts[TABLE] * 2 < total:
         kind = JUNK
