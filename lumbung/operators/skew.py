@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from lumbung import functions as fn
 
@@ -19,9 +20,10 @@ from lumbung import functions as fn
 def key_ranges(df: DataFrame, fields: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """``in_field, key_id, value, o0, o1…`` per field of ``fields`` in balanced ranges; ``o0…`` are the order columns.
 
-    Fields must have integer keys; a null key is a key like any other.
+    Keys are integers, or text if any field's are not; a null key is a key like any other.
     """
-    picked = [F.struct(F.lit(f).alias("in_field"), F.col(f"`{f}`").cast("long").alias("key_id")) for f in fields]
+    kind = "long" if all(isinstance(df.schema[f].dataType, IntegralType) for f in fields) else "string"
+    picked = [F.struct(F.lit(f).alias("in_field"), F.col(f"`{f}`").cast(kind).alias("key_id")) for f in fields]
     orders = [f"o{i}" for i in range(len(order))]
     rows = df.select(F.col(f"`{value}`").alias("value"), *(F.col(f"`{c}`").alias(o) for c, o in zip(order, orders)), F.explode(F.array(*picked)).alias("k"))
     return rows.select("k.in_field", "k.key_id", "value", *orders).repartitionByRange("in_field", "key_id", *orders)

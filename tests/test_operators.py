@@ -136,6 +136,7 @@ def test_key_totals(spark):
             order = [d[3] for d in own if d[3] is not None]
             assert (x["first_order"], x["last_order"]) == (min(order), max(order))
     assert rows(skew.heavy_keys(df, ["entity_id"], "q", ["at"], 0.5).select("key_id")) == [(7,)]
+    assert rows(skew.heavy_keys(df.selectExpr("'k' || entity_id AS t", "q", "at"), ["t"], "q", ["at"], 0.5).select("key_id")) == [("k7",)]
     assert skew.key_totals(df.where("false"), ["entity_id"], "q", ["at"]).count() == 0
     clash = df.selectExpr("entity_id AS value", "q AS key_id", "at AS in_field", "1 AS n", "2 AS o0", "3 AS share")
     assert rows(skew.heavy_keys(clash, ["value"], "key_id", ["in_field"], 0.5).select("in_field", "key_id")) == [("value", 7)]
