@@ -458,11 +458,14 @@ _STATEMENTS = {
     ("oracle", "truncate"): "TRUNCATE TABLE t CASCADE",
     ("oracle", "url"): "jdbc:oracle:thin:@h:1/d",
     ("oracle", "driver url"): "oracle+cx_oracle://u:p%40@h:1/d",
+    ("mysql", "job url"): "jdbc:mysql://h:1/d?useSSL=false&allowPublicKeyRetrieval=true&serverTimezone=UTC",
+    ("clickhouse", "job url"): "jdbc:clickhouse://h:1/d",
+    ("clickhouse", "truncate"): "TRUNCATE TABLE t",
 }
 
 
 def database_statements(spark: SparkSession, d: str) -> DataFrame:
-    """Every statement and URL of the five transactional databases, and the database that each URL names."""
+    """Every statement and URL of the five transactional databases and of the job's, and the database that each URL names."""
     found = []
     for db in ("postgres", "mysql", "mariadb", "mssql", "oracle"):
         url = jdbc.jdbc_url(db, "h", 1, "d")
@@ -471,6 +474,8 @@ def database_statements(spark: SparkSession, d: str) -> DataFrame:
             "truncate": jdbc.truncate_sql(jdbc.Target(url, "t")), "url": url, "driver url": jdbc.sql_url(db, "h", 1, "d", "u", "p@"),
         }
         found += [(jdbc.dialect_of_url(url).name, what, text) for what, text in texts.items()]
+    found += [(jdbc.dialect_of_url(url).name, "job url", url) for url in (jdbc.job_url(db, "h", 1, "d") for db in ("mysql", "clickhouse"))]
+    found.append(("clickhouse", "truncate", jdbc.truncate_sql(jdbc.Target(jdbc.job_url("clickhouse", "h", 1, "d"), "t"))))
     return spark.createDataFrame(found, "database string, what string, text string")
 
 
