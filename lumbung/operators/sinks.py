@@ -29,6 +29,16 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
+def observed(seen: Observation) -> dict[str, int]:
+    """What was observed while rows were written; nothing if the optimiser found that there are none and dropped the observation."""
+    try:
+        return dict(seen.get)
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        return {}
+
+
 class ParquetSink:
     """A Parquet table at ``path``.
 
@@ -88,13 +98,13 @@ class ParquetSink:
         writer = df.write.mode(mode)
         (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(path)
 
-    def _staged(self, df: DataFrame, publish: Callable[[], bool] = lambda: True) -> None:
-        """Write ``df`` beside the table, then put it in the table's place if ``publish()``."""
+    def _staged(self, df: DataFrame, publish: Callable[[str], bool]) -> None:
+        """Write ``df`` beside the table, then put it in the table's place if ``publish`` of the staged path says so."""
         self.recover()
         staging = f"{self.path}.staging-{uuid.uuid4().hex}"
         try:
             self._write(df, staging, "errorifexists")
-            if not publish():
+            if not publish(staging):
                 delete_path(self.spark, staging)
                 return
             if self._exists(self.path):
@@ -108,16 +118,25 @@ class ParquetSink:
 
     def replace(self, df: DataFrame, keep_if_empty: bool = False) -> int:
         """Rows written. ``df`` may read the table that it replaces; ``keep_if_empty`` leaves the table alone if it has no row."""
-        df, seen = counted(df)
-        self._staged(df, lambda: not keep_if_empty or seen.get["n"] > 0)
-        return seen.get["n"]
+        rows, seen = counted(df)
+        n = 0
+
+        def publish(staged: str) -> bool:
+            nonlocal n
+            told = observed(seen)
+            n = told["n"] if told else self.spark.read.schema(df.schema).parquet(staged).count()
+            return n > 0 or not keep_if_empty
+
+        self._staged(rows, publish)
+        return n
 
     def append(self, df: DataFrame, keys: Sequence[str] | None = None) -> int:
         """Rows added. Spark's committer publishes the files of a job only when all tasks succeeded."""
         self.recover()
-        df, seen = counted(df)
-        self._write(df, self.path, "append")
-        return seen.get["n"]
+        rows, seen = counted(df)
+        self._write(rows, self.path, "append")
+        told = observed(seen)
+        return told["n"] if told else df.count()
 
     def _changes(self, source: DataFrame, target: DataFrame, keys: Sequence[str], ignore: Sequence[str], scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
         """The new and changed rows of ``source`` with ``__change`` and the ``__file`` of the row that each replaces, and counts by change.
@@ -148,12 +167,15 @@ class ParquetSink:
         kinds = ("new", "changed", "unchanged")
         joined = joined.observe(of_source, F.count_if(has_key & (F.col("__nth") > 1)).alias("repeated"), *(F.count_if(F.col("__change") == k).alias(k) for k in kinds))
         found = scratch.table("changes", joined.where("__change <> 'unchanged'").select(*map(q, both), "__change", "__file"))
-        if of_source.get["repeated"]:
+        told = observed(of_source)
+        if not told and not found.isEmpty():
+            raise RuntimeError("changes were written but not counted")
+        if told.get("repeated"):
             check_unique(source, keys, "the source")
             raise ValueError("the source holds keys more than once")
-        if of_target.get["repeated"]:
+        if observed(of_target).get("repeated"):
             check_unique(target, keys, "the target")
-        return found, {k: of_source.get[k] for k in kinds}
+        return found, {k: told.get(k, 0) for k in kinds}
 
     def upsert(self, source: DataFrame, keys: Sequence[str], ignore: Sequence[str] = UNCOMPARED) -> dict[str, int]:
         """Rows of ``source`` by change (``new``, ``changed``, ``unchanged``), after the first two have been written.

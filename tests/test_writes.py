@@ -155,6 +155,20 @@ def test_empty_source(spark, tmp_path):
     assert stats.truncated and sink.count() == 0 and sink.read().columns == ["id"]
 
 
+def test_empty_plans_of_every_kind(spark, tmp_path):
+    """The optimiser drops empty plans, with what observes them."""
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    sink = ParquetSink(spark, f"{tmp_path}/t")
+    sink.replace(df)
+    for empty in (df.where("false"), spark.createDataFrame([], df.schema), df.limit(0), spark.range(0).selectExpr("int(id) AS id", "'x' AS v"), df.join(df.where("false").select("id"), "id")):
+        stats = run_method(empty, sink, "upsert", ["id"])
+        assert (stats.source_count, stats.processed, stats.count_after) == (0, 0, 2)
+        assert run_method(empty, sink, "append").inserted == run_method(empty, sink, "overwrite").inserted == 0 and sink.count() == 2
+    sink.replace(df.where("false"))
+    assert run_method(df.where("false"), sink, "upsert", ["id"]).processed == 0
+    assert run_method(df, sink, "upsert", ["id"]).inserted == 2 and sink.count() == 2
+
+
 def test_append_and_keyless_upsert(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
     sink = ParquetSink(spark, f"{tmp_path}/t")
