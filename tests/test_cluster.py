@@ -12,7 +12,10 @@ import pytest
 import __spark_entry__ as entry
 from compare import duck, rows_of_sql
 
-ON_CLUSTER = ("etl_over_jdbc",)
+ON_CLUSTER = (
+    "etl_over_jdbc",
+    "sink_jdbc_overwrite",
+)
 
 RUN = """
 import json, os, sys
