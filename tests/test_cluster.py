@@ -15,6 +15,7 @@ from compare import duck, rows_of_sql
 ON_CLUSTER = (
     "etl_over_jdbc",
     "sink_jdbc_overwrite",
+    "sink_jdbc_whole",
 )
 
 RUN = """
