@@ -16,6 +16,7 @@ ON_CLUSTER = (
     "etl_over_jdbc",
     "sink_jdbc_overwrite",
     "sink_jdbc_whole",
+    "source_jdbc_keys",
 )
 
 RUN = """
