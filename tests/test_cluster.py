@@ -17,6 +17,7 @@ ON_CLUSTER = (
     "sink_jdbc_overwrite",
     "sink_jdbc_whole",
     "source_jdbc_keys",
+    "etl_to_database",
 )
 
 RUN = """
