@@ -18,6 +18,7 @@ ON_CLUSTER = (
     "sink_jdbc_whole",
     "source_jdbc_keys",
     "etl_to_database",
+    "sink_jdbc_truncate",
 )
 
 RUN = """
