@@ -19,6 +19,7 @@ ON_CLUSTER = (
     "source_jdbc_keys",
     "etl_to_database",
     "sink_jdbc_truncate",
+    "source_jdbc_columns",
 )
 
 RUN = """
