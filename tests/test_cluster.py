@@ -20,6 +20,7 @@ ON_CLUSTER = (
     "etl_to_database",
     "sink_jdbc_truncate",
     "source_jdbc_columns",
+    "source_jdbc_query",
 )
 
 RUN = """
