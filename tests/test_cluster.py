@@ -21,6 +21,7 @@ ON_CLUSTER = (
     "sink_jdbc_truncate",
     "source_jdbc_columns",
     "source_jdbc_query",
+    "sink_jdbc_append",
 )
 
 RUN = """
