@@ -22,6 +22,7 @@ ON_CLUSTER = (
     "source_jdbc_columns",
     "source_jdbc_query",
     "sink_jdbc_append",
+    "sink_jdbc_upsert",
 )
 
 RUN = """
