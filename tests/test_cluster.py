@@ -23,6 +23,7 @@ ON_CLUSTER = (
     "source_jdbc_query",
     "sink_jdbc_append",
     "sink_jdbc_upsert",
+    "source_jdbc_count",
 )
 
 RUN = """
