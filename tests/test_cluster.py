@@ -24,6 +24,7 @@ ON_CLUSTER = (
     "sink_jdbc_append",
     "sink_jdbc_upsert",
     "source_jdbc_count",
+    "source_jdbc_split",
 )
 
 RUN = """
