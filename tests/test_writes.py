@@ -2,6 +2,7 @@
 
 import random
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -348,6 +349,21 @@ def test_all_or_nothing_on_a_database(spark):
         run_method(df, sink, "append", colour=1)
 
 
+@pytest.mark.parametrize("transaction", [True])
+def test_upserts_on_a_database_grow_with_the_rows(spark, transaction):
+    n = 16_000
+    sink = JdbcSink(spark, jdbc.Target(jdbc.jdbc_url("derby", "", 0, f"large{transaction}"), "T"), partitions=2)
+    ids = lambda low, high, v: spark.range(low, high).selectExpr("int(id div 2) AS a", "int(IF(id = 5, NULL, id % 2)) AS b", f"'{v}' AS v", "id AS w", "2 * id AS x")
+    sink.replace(ids(0, n, "old"))
+    began = time.monotonic()
+    stats = run_method(ids(n // 2, n + n // 2, "new").union(ids(5, 6, "none")), sink, "upsert", ["a", "b"], transaction=transaction)
+    took = time.monotonic() - began
+    assert (stats.inserted, stats.updated, stats.skipped) == (n // 2 + 1, n // 2, 0)  # a null key matches nothing
+    assert rows(sink.read().groupBy("v").count()) == [("new", n), ("none", 1), ("old", n // 2)]
+    assert sink.read().where("x <> 2 * w OR b <> w % 2").count() == 0
+    assert took < 60  # row by row over all rows it took minutes
+
+
 def test_statements_from_a_staging_table():
     from lumbung.operators.upsert_sql import staged_sql
 
