@@ -349,7 +349,7 @@ def test_all_or_nothing_on_a_database(spark):
         run_method(df, sink, "append", colour=1)
 
 
-@pytest.mark.parametrize("transaction", [True])
+@pytest.mark.parametrize("transaction", [False, True])
 def test_upserts_on_a_database_grow_with_the_rows(spark, transaction):
     n = 16_000
     sink = JdbcSink(spark, jdbc.Target(jdbc.jdbc_url("derby", "", 0, f"large{transaction}"), "T"), partitions=2)
