@@ -559,9 +559,13 @@ def stream_upsert_result(spark: SparkSession, d: str) -> DataFrame:
 
 def sink_jdbc_upsert(spark: SparkSession, d: str) -> DataFrame:
     sink = JdbcSink(spark, jdbc.Target(_database_url(), "T"), partitions=2)
-    sink.replace(_target(spark, d))
-    run_method(_source(spark, d), sink, "upsert", ["entity_id"])
-    return sink.read()
+    try:
+        sink.replace(_target(spark, d))
+        run_method(_source(spark, d), sink, "upsert", ["entity_id"])
+        return sink.read()
+    finally:
+        if jdbc.in_driver(spark, sink.target):  # all is read: the driver need not hold the database any longer
+            jdbc.close_database(spark, sink.target)
 
 
 def _jdbc_written(method: str, empty: bool = False, **options: object) -> Query:

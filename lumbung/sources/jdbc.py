@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -148,6 +149,15 @@ def open_connection(spark: SparkSession, target: Target):
     return manager.getConnection(target.url, target.user, target.password) if target.user else manager.getConnection(target.url)
 
 
+def close_database(spark: SparkSession, target: Target) -> None:
+    """Shut down a Derby database of the driver's process, which holds its pages until then; the next connection opens it again."""
+    try:
+        open_connection(spark, replace(target, url=f"{target.url.partition(';')[0]};shutdown=true"))
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # by which it says that it is done
+            raise
+
+
 @dataclass(frozen=True)
 class Split:
     """How a scan is cut into parallel reads: equal ranges of a numeric, date or timestamp column."""

@@ -10,7 +10,9 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from compare import duck, rows_of_sql
+from catalogue import reference
+from compare import duck, rows_of, rows_of_sql
+from lumbung.sources import jdbc
 
 ON_CLUSTER = (
     "etl_over_jdbc",
@@ -65,3 +67,13 @@ def test_agrees_with_sql_on_a_cluster(ran, sf, name):
     said = json.loads((ran / f"{name}.json").read_text())
     assert "error" not in said, said["error"]
     assert said["rows"] == repr(rows_of_sql(duck(sf), entry.oracle_sql()[name]))
+
+
+def test_the_driver_closes_a_database_that_is_read(spark, sf, monkeypatch):
+    made, new = [], reference._database_url
+    monkeypatch.setattr(jdbc, "is_local", lambda _: False)
+    monkeypatch.setattr(reference, "_database_url", lambda: made.append(new()) or made[-1])
+    got = entry.queries()["sink_jdbc_upsert"](spark, sf)
+    folder = Path(made[0].removeprefix("jdbc:derby:").partition(";")[0])
+    assert folder.is_dir() and not (folder / "db.lck").exists()  # it is there as long as the database is open
+    assert repr(rows_of(got)) == repr(rows_of_sql(duck(sf), entry.oracle_sql()["sink_jdbc_upsert"]))
